@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import records
+from pagequarry.llm import lines, records
 from pagequarry.llm.sql import ORACLES  # noqa: F401
 from pagequarry.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that stand in six or more rows of their site."""
+    return lines.found(table(spark, sf_dir, "dataset_rows"), table(spark, sf_dir, "page_results"))
+
+
+def p1_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's text without the lines that its site repeats, near-duplicates included."""
+    return lines.strip_lines(table(spark, sf_dir, "dataset_rows"), table(spark, sf_dir, "page_results"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each further row of a record, with the record's first row."""
     return records.pairs(table(spark, sf_dir, "dataset_rows"))
@@ -19,4 +29,4 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.collapse(table(spark, sf_dir, "dataset_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p3_found, p3_records)}

@@ -21,7 +21,21 @@ WITH t AS (
 ), g AS (SELECT row_id, min(row_id) OVER (PARTITION BY grp) AS first_row_id FROM l)
 """
 
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 ORACLES: dict[str, str] = {
+    "p1_found": rf"""
+WITH s AS (
+  SELECT source_id, min(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')) AS site
+  FROM page_results WHERE url <> '' GROUP BY 1
+), l AS (
+  SELECT row_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM dataset_rows JOIN s ON s.source_id = 'dataset:' || dataset_id || ':' || row_index WHERE site <> ''
+), n AS (
+  SELECT row_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g')) AS k
+  FROM l WHERE regexp_matches(line, '\p{{L}}')
+), c AS (SELECT site, k FROM n GROUP BY 1, 2 HAVING count(DISTINCT row_id) >= 6)
+SELECT row_id, line_no FROM n JOIN c USING (site, k)""",
     "p3_found": _P3_GROUPS + "SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
     "p3_records": _P3_GROUPS
     + r"""SELECT first_row_id AS record_id, count(*) AS copies FROM g GROUP BY 1
