@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import lines, records
+from pagequarry.llm import lines, records, spans
 from pagequarry.llm.sql import ORACLES  # noqa: F401
 from pagequarry.sources.tables import table
 
@@ -29,4 +29,14 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.collapse(table(spark, sf_dir, "dataset_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p3_found, p3_records)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share a verbatim run of 200 characters or more."""
+    return spans.found(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands elsewhere."""
+    return spans.shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p3_found, p3_records, p8_found, p8_shares)}
