@@ -8,12 +8,12 @@ token; so two texts that share a span meet under that token, whatever else they
 hold, and one hash function finds every exact span. Places that meet are then
 compared character by character.
 
-Exact copies of a text count as one text until the end (class). A token that
-many texts share is joined in blocks of texts, never in one task.
+Of exact copies only the first takes part until the end. A token that many
+texts share is joined in blocks of texts, never in one task.
 
 Defined results: null texts and texts shorter than ``least`` share nothing
-(share 0.0); repeated ids are one document if their texts agree, and never form
-a pair with themselves. Empty tables give empty results. Other columns are
+(share 0.0); rows of one id count as one document, which never forms a pair
+with itself. Empty tables give empty results. Other columns are
 ignored. Characters are code points.
 """
 
@@ -33,6 +33,7 @@ LEAST = 200
 GRAM = 100
 #: Occurrences of one token that are paired within one block.
 BLOCK = 256
+SALTS = 16
 #: Texts are searched for windows in pieces of so many tokens, overlapping by a window.
 PIECE = 1 << 16
 
@@ -116,7 +117,7 @@ def _windows(least: int, gram: int):
             if of:
                 take = pa.array(np.concatenate(of).astype(np.int64))
                 cols = [batch.column(0).take(take), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places))]
-                yield pa.RecordBatch.from_arrays(cols, ["class", "token", "place"])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "token", "place"])
 
     return run
 
@@ -127,11 +128,11 @@ def _around(least: int, gram: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for c, text, hits in zip(f["class"], f["text"], f["hits"]):
+            for c, text, hits in zip(f["id"], f["text"], f["hits"]):
                 for hit in hits:
                     p = hit["place"]
                     rows.append((c, hit["token"], p, hit["blocks"], text[max(0, p - least + gram) : p][::-1], text[p : p + least]))
-            yield pd.DataFrame(rows, columns=["class", "token", "place", "blocks", "left", "right"])
+            yield pd.DataFrame(rows, columns=["id", "token", "place", "blocks", "left", "right"])
 
     return run
 
@@ -156,38 +157,40 @@ def _extent(la: pd.Series, ra: pd.Series, lb: pd.Series, rb: pd.Series) -> pd.Da
     return pd.DataFrame({"left": [_common(x, y) for x, y in zip(la, lb)], "right": [_common(x, y) for x, y in zip(ra, rb)]}, dtype="int32")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(class, id) of each document that is long enough; exact copies share a class."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, rep) of each document, long enough, whose text stands in several; rep is the least of their ids."""
     t = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= least)
-    return t.select(F.unhex(F.md5("text")).alias("class"), "id").distinct()
+    t = t.select("id", F.md5("text").alias("print")).distinct()
+    first = t.groupBy("print").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
+    # A text of which there are very many copies is spread.
+    spread = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = t.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    return salted.join(spread, ["print", "_salt"]).groupBy("id").agg(F.min("rep").alias("rep"))
 
 
-def meetings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(a, b, a_from, a_to, b_from, b_to): spans shared by two classes, a < b.
+def meetings(docs: DataFrame, copied: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(a, b, a_from, a_to, b_from, b_to): spans shared by two documents a < b, of copies only the first.
 
     Each is the part, within ``least`` characters, of a span of ``least`` or
-    more around a place where the classes meet; together they cover every span.
+    more around a place where the documents meet; together they cover every span.
     """
     long = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= least)
-    keyed = long.select(F.unhex(F.md5("text")).alias("class"), "text")
-    index = cut(keyed.mapInArrow(_windows(least, gram), "class binary, token long, place int").distinct())
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-    shared = shared.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    hits = index.join(shared, "token").groupBy("class").agg(F.collect_list(F.struct("token", "place", "blocks")).alias("hits"))
-    first = long.select(F.unhex(F.md5("text")).alias("class"), "id").groupBy("class").agg(F.min("id").alias("id"))
-    wanted = hits.join(first, "class")
-    texts = long.join(wanted, "id").where(F.unhex(F.md5("text")) == F.col("class")).dropDuplicates(["class"]).select("class", "text", "hits")
-    places = cut(texts.mapInPandas(_around(least, gram), "class binary, token long, place int, blocks int, left string, right string"))
+    index = long.mapInArrow(_windows(least, gram), "id long, token long, place int")
+    often = lambda t: t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    later = copied.where("id != rep").select("id")
+    kept = cut(index.join(often(index).select("token"), "token").join(later, "id", "left_anti").distinct())
+    hits = kept.join(often(kept), "token").groupBy("id").agg(F.collect_list(F.struct("token", "place", "blocks")).alias("hits"))
+    places = cut(long.join(hits, "id").mapInPandas(_around(least, gram), "id long, token long, place int, blocks int, left string, right string"))
     # Blocks i and j of a token meet in one key: no task gets more than two blocks.
-    own = F.pmod(F.xxhash64("class", "place"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int")
     spread = places.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     a, b = spread.alias("a"), spread.alias("b")
     once = (F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own"))
     extent = F.pandas_udf(_extent, "left int, right int")
-    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("token", "low", "high")] + [F.col("a.class") < F.col("b.class")]).where(once)
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("token", "low", "high")] + [F.col("a.id") < F.col("b.id")]).where(once)
     ext = met.select(
-        F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.place").alias("pa"), F.col("b.place").alias("pb"), extent("a.left", "a.right", "b.left", "b.right").alias("e")
+        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.place").alias("pa"), F.col("b.place").alias("pb"), extent("a.left", "a.right", "b.left", "b.right").alias("e")
     )
     ext = ext.where(F.col("e.left") + F.col("e.right") >= least)
     return ext.select("a", "b", *[(F.col(f"p{x}") + (-F.col("e.left") if y == "from" else F.col("e.right"))).alias(f"{x}_{y}") for x in "ab" for y in ("from", "to")])
@@ -195,13 +198,14 @@ def meetings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id_a, doc_id_b): documents that share a verbatim run of ``least`` characters or more."""
-    members = cut(classes(docs, id_col, text_col, least))
-    links = meetings(docs, id_col, text_col, least).select("a", "b").distinct()
-    copies = members.groupBy("class").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    every = links.unionByName(copies)
-    named = every.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
-    pair = named.where((F.col("a") != F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
-    return pair.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    copied = cut(copies(docs, id_col, text_col, least))
+    links = meetings(docs, copied, id_col, text_col, least).select("a", "b").distinct()
+    x = copied.select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    y = copied.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    named = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    same = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    every = named.where("x != y").unionByName(same)
+    return every.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def _covered(spans) -> object:
@@ -220,14 +224,13 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     A null text has 0 characters; the share of an empty text is 0.0.
     """
-    members = cut(classes(docs, id_col, text_col, least))
-    m = cut(meetings(docs, id_col, text_col, least))
-    sides = [m.select(F.col(x).alias("class"), F.struct(F.col(f"{x}_from").alias("from"), F.col(f"{x}_to").alias("to")).alias("s")) for x in "ab"]
-    spans = sides[0].unionByName(sides[1]).distinct().groupBy("class").agg(F.collect_list("s").alias("spans"))
-    copied = members.groupBy("class").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select("class", (F.col("lo") != F.col("hi")).alias("copied"))
-    per_class = copied.join(spans, "class", "left").select("class", "copied", F.coalesce(_covered(F.col("spans")), F.lit(0)).alias("covered"))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), F.unhex(F.md5(F.col(text_col))).alias("class"))
-    joined = docs.join(per_class, "class", "left")
-    shared = F.when(F.col("copied"), F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).cast("long")
-    out = joined.select("doc_id", F.col("n").cast("long").alias("n_chars"), shared.alias("shared_chars"))
+    copied = cut(copies(docs, id_col, text_col, least))
+    m = cut(meetings(docs, copied, id_col, text_col, least))
+    sides = [m.select(F.col(x).alias("doc_id"), F.struct(F.col(f"{x}_from").alias("from"), F.col(f"{x}_to").alias("to")).alias("s")) for x in "ab"]
+    spans = sides[0].unionByName(sides[1]).distinct().groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
+    covered = spans.select("doc_id", _covered(F.col("spans")).alias("covered"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
+    out = out.join(copied.select(F.col("id").alias("doc_id"), F.lit(True).alias("copied")), "doc_id", "left").join(covered, "doc_id", "left")
+    shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.least(F.coalesce("covered", F.lit(0)), "n_chars")).cast("long")
+    out = out.select("doc_id", "n_chars", shared.alias("shared_chars"))
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))
