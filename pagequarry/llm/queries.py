@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import lines, records, spans
+from pagequarry.llm import lines, pages, records, spans
 from pagequarry.llm.sql import ORACLES  # noqa: F401
 from pagequarry.sources.tables import table
 
@@ -19,6 +19,16 @@ def p1_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.strip_lines(table(spark, sf_dir, "dataset_rows"), table(spark, sf_dir, "page_results"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose html shows residue or a message instead of content."""
+    return pages.residue_rows(table(spark, sf_dir, "dataset_rows"))
+
+
+def p2_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the rows that remain for the audit."""
+    return pages.without_residue(table(spark, sf_dir, "dataset_rows")).select("row_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each further row of a record, with the record's first row."""
     return records.pairs(table(spark, sf_dir, "dataset_rows"))
@@ -29,6 +39,26 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.collapse(table(spark, sf_dir, "dataset_rows"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of foreign markup in each field."""
+    return pages.markup_kinds(table(spark, sf_dir, "dataset_rows"))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field as clean text."""
+    return pages.clean_texts(table(spark, sf_dir, "dataset_rows"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each page that do not belong to its main body."""
+    return pages.aside_blocks(table(spark, sf_dir, "dataset_rows"))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of each page."""
+    return pages.main_bodies(table(spark, sf_dir, "dataset_rows"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a verbatim run of 200 characters or more."""
     return spans.found(table(spark, sf_dir, "documents"))
@@ -39,4 +69,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p3_found, p3_records, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p2_found, p2_remaining, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_bodies, p8_found, p8_shares)}
