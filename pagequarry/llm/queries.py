@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import lines, pages, records, spans
+from pagequarry.llm import lines, mixing, packing, pages, records, spans
 from pagequarry.llm.sql import ORACLES  # noqa: F401
 from pagequarry.sources.tables import table
 
@@ -59,6 +59,29 @@ def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_bodies(table(spark, sf_dir, "dataset_rows"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, for each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers of each capacity are used, and the least possible number."""
+    return packing.usage(p6_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for each mix, by training position."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.draw(sizes, mixing.plan_mixes(sizes, table(spark, sf_dir, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mix really reaches."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mixes(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(mixing.draw(sizes, plan), plan)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a verbatim run of 200 characters or more."""
     return spans.found(table(spark, sf_dir, "documents"))
@@ -69,4 +92,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p2_found, p2_remaining, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_bodies, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p2_found, p2_remaining, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_bodies, p6_containers, p6_usage, p7_drawn, p7_shares, p8_found, p8_shares)}
