@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text
+from pagequarry.functions.expr import let
 from pagequarry.functions.html_kernel import WORDS
 
 #: Words per shingle, and the most that one shingle weighs.
@@ -57,6 +58,9 @@ def fingerprints(content: Column, eligible: Column) -> Column:
 
 def shingles(content: Column) -> Column:
     """Runs of three words; none where there are fewer."""
-    words = text.word_units(content)
-    starts = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+
+    def runs(words: Column) -> Column:
+        starts = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+
+    return let(text.word_units(content), runs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.schema import COMPONENTS
@@ -16,43 +16,45 @@ ROWS_LEFT = "Dataset audit limited to selected source rows; remaining rows were
 NO_ROWS = "Source dataset is empty; no documents were analyzed."
 TOP_ISSUES = 10
 
-_audited = F.col("status") == "audited"
-_weighted = _audited & F.col("duplicate_status").isin("unique", "not_checked") & (F.col("page_profile") != "navigation_or_index")
 
+def _is_audited() -> Column:
+    return F.col("status") == "audited"
 
-def _if(test, value):
-    return F.when(test, value)
+
+def _is_weighted() -> Column:
+    return _is_audited() & F.col("duplicate_status").isin("unique", "not_checked") & (F.col("page_profile") != "navigation_or_index")
 
 
 def totals(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts, tokens and exact sums of the scores (in cents, so that they do not depend on order); one row, or one per group."""
+    audited, weighted = _is_audited(), _is_weighted()
     cents = lambda c: F.round(c * 100).cast("long")
     count = lambda test, name: F.count_if(test).alias(name)
     aggregates = [
         F.count(F.lit(1)).alias("pages_processed"),
-        count(_audited, "pages_successfully_audited"),
+        count(audited, "pages_successfully_audited"),
         count(F.col("status") == "failed", "pages_failed"),
         count(F.col("status") == "skipped", "pages_skipped"),
-        count(_audited & F.col("recommended_for_rag"), "recommended_pages"),
-        count(_audited & (F.col("rag_value") == "low"), "low_value_pages"),
-        count(_audited & (F.col("duplicate_status") == "unique"), "unique_pages"),
-        count(_audited & (F.col("duplicate_status") == "exact_duplicate"), "exact_duplicates"),
-        count(_audited & (F.col("duplicate_status") == "near_duplicate"), "near_duplicates"),
-        count(_audited & (F.col("duplicate_status") == "not_checked"), "duplicates_not_checked"),
-        count(_audited & (F.col("content_status") == "likely_requires_javascript"), "likely_js_pages"),
-        F.coalesce(F.sum(_if(_audited & F.col("recommended_for_rag"), F.col("estimated_tokens"))), F.lit(0)).alias("estimated_corpus_tokens"),
-        F.coalesce(F.sum(_if(_audited, F.col("estimated_tokens"))), F.lit(0)).alias("estimated_analyzed_tokens"),
-        count(_weighted, "score_denominator"),
-        F.coalesce(F.sum(_if(_weighted, cents(F.col("rag_readiness_score")))), F.lit(0)).alias("weighted_score_cents"),
-        F.coalesce(F.sum(_if(_audited, cents(F.col("rag_readiness_score")))), F.lit(0)).alias("analyzed_score_cents"),
-        *[F.coalesce(F.sum(_if(_weighted, cents(F.col(f"score_breakdown.{c}")))), F.lit(0)).alias(f"{c}_cents") for c in COMPONENTS],
+        count(audited & F.col("recommended_for_rag"), "recommended_pages"),
+        count(audited & (F.col("rag_value") == "low"), "low_value_pages"),
+        count(audited & (F.col("duplicate_status") == "unique"), "unique_pages"),
+        count(audited & (F.col("duplicate_status") == "exact_duplicate"), "exact_duplicates"),
+        count(audited & (F.col("duplicate_status") == "near_duplicate"), "near_duplicates"),
+        count(audited & (F.col("duplicate_status") == "not_checked"), "duplicates_not_checked"),
+        count(audited & (F.col("content_status") == "likely_requires_javascript"), "likely_js_pages"),
+        F.coalesce(F.sum(F.when(audited & F.col("recommended_for_rag"), F.col("estimated_tokens"))), F.lit(0)).alias("estimated_corpus_tokens"),
+        F.coalesce(F.sum(F.when(audited, F.col("estimated_tokens"))), F.lit(0)).alias("estimated_analyzed_tokens"),
+        count(weighted, "score_denominator"),
+        F.coalesce(F.sum(F.when(weighted, cents(F.col("rag_readiness_score")))), F.lit(0)).alias("weighted_score_cents"),
+        F.coalesce(F.sum(F.when(audited, cents(F.col("rag_readiness_score")))), F.lit(0)).alias("analyzed_score_cents"),
+        *[F.coalesce(F.sum(F.when(weighted, cents(F.col(f"score_breakdown.{c}")))), F.lit(0)).alias(f"{c}_cents") for c in COMPONENTS],
     ]
     return (pages.groupBy(*by) if by else pages.groupBy()).agg(*aggregates)
 
 
 def median_score(pages: DataFrame) -> DataFrame:
     """Exact median of the audited scores, from a count per distinct score: scores have two digits, so there are few."""
-    counts = pages.where(_audited).groupBy(F.col("rag_readiness_score").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.where(_is_audited()).groupBy(F.col("rag_readiness_score").alias("score")).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.percentile("score", F.lit(0.5), F.col("n")).alias("median_analyzed_score"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pagequarry.plans import queries, sql
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    name: f for name, f in vars(queries).items() if callable(f) and getattr(f, "__module__", "") == queries.__name__ and not name.startswith("_")
+}
+ORACLES = sql.ORACLES
