@@ -7,8 +7,10 @@ numbered by a window per start, which the bounds of a crawl keep small.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pagequarry.config import AuditConfig
 from pagequarry.functions import html_kernel, urls
@@ -102,6 +104,17 @@ def offer(links: DataFrame, seen: DataFrame, config: AuditConfig, room: int, bas
     return new.select("url", (F.row_number().over(Window.orderBy("at", "url")) + base - 1).cast("long").alias("ord"))
 
 
+def _permission(rules: robots.Rules):
+    """Whether a column of urls may be read, in Arrow batches."""
+    if not rules.lines:
+        return lambda url: F.lit(rules.default)
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(rules.allowed, na_action="ignore").astype("boolean")
+
+    return F.pandas_udf(run, BooleanType())
+
+
 def audit_site(captured: DataFrame, config: AuditConfig, public_only: bool = True) -> tuple[DataFrame, list[str]]:
     """Pages of one website in visiting order, and warnings. ``captured`` is a capture snapshot."""
     spark = captured.sparkSession
@@ -112,8 +125,7 @@ def audit_site(captured: DataFrame, config: AuditConfig, public_only: bool = Tru
     host = urls.host_of(start)
     rules = site_rules(start, known, config.respect_robots_txt)
     warnings = [rules.warning] if rules.warning else []
-    allowed = F.udf(rules.allowed, "boolean") if rules.lines else None
-    permit = (lambda u: allowed(u)) if allowed else (lambda u: F.lit(rules.default))
+    permit = _permission(rules)
     frontier = offer(spark.createDataFrame([(start, 0, 0)], "url string, parent long, place long"), spark.createDataFrame([], "url string"), config, MAX_QUEUE, 0)
     queue = cut(frontier.withColumn("depth", F.lit(0)))
     extra = None
