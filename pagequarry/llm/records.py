@@ -29,8 +29,9 @@ SALTS = 16
 
 
 def squash(text: Column) -> Column:
-    """Letters and digits of ``text`` in one case (sharp s and SS agree)."""
-    return F.lower(F.upper(F.regexp_replace(text, NOT_ALNUM, "")))
+    """Letters and digits of ``text`` in one case (sharp s and SS agree, as do the two forms of sigma)."""
+    low = F.lower(F.regexp_replace(text, NOT_ALNUM, ""))
+    return F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def _fields(text: Column) -> Column:

@@ -9,6 +9,7 @@ labelled; a fifth of them is held out.
 from __future__ import annotations
 
 import json
+import random
 import re
 import sys
 import zlib
@@ -23,6 +24,8 @@ RULES = {
     "comment": "html", "entity": "html", "wikitable": "wiki", "image": "markdown", "double": "wiki", "link": "markdown", "outside": "wiki", "quotes": "wiki", "equals": "wiki",
     "display": "latex", "paren": "latex", "square": "latex", "environment": "latex", "strong": "markdown", "strike": "markdown", "hash": "markdown", "rule": "markdown", "fence": "markdown", "tick": "markdown",
 }
+#: Words that belong to a syntax.
+KEPT = frozenset("http https www category file image class wikitable style href align color size thumb nbsp quot mdash ndash hellip example".split())
 #: Commands of LaTeX that take an argument in running text, and signs of formulas.
 COMMANDS = frozenset("section subsection subsubsection chapter paragraph emph textbf textit texttt underline cite citep citet ref label footnote url href item title author caption frac sqrt sum int begin end mathbf mathrm left right".split())
 
@@ -48,6 +51,27 @@ def rule(text: str, form: str, a: int, b: int, parent: str | None) -> int:
     return 1 + markup.KINDS.index(kind) if kind else 0
 
 
+def alone(text: str, depth: int, draw: random.Random) -> list[tuple[str, int]]:
+    """The outermost pieces of a text with little around them, at any depth: what a piece is does not hang on these."""
+    out = []
+    for form, a, b, up in markup.pieces(text):
+        if up < 0 and form in markup.INDEX:
+            room = draw.choice((0, 0, 5, 30))
+            lo = text.rfind("\n", 0, a) + 1 if form in ("equals", "hash", "rule") else max(0, a - room)
+            near = text[lo:b] + ("" if form in ("equals", "hash", "rule") else text[b : b + room])
+            out.append((near, draw.randint(1, 9)))
+            out.append((re.sub(r"(?<![\\\\</&])\b[A-Za-z]{4,}\b", lambda m: other(m[0], draw), near), draw.randint(1, 9)))
+    return out
+
+
+def other(word: str, draw: random.Random) -> str:
+    """Some word in place of another that has no part in a syntax."""
+    if word.lower() in KEPT or word.lower() in markup.TAGS or word in COMMANDS:
+        return word
+    new = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(1, 9)))
+    return draw.choice((new, new, new.capitalize(), new.upper()))
+
+
 def main(folder: str) -> None:
     import duckdb
 
@@ -55,8 +79,9 @@ def main(folder: str) -> None:
     rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
     docs = [(False, markup.markdown_texts(m)) for m in [m for _, m, _ in rows if m][:SAMPLE]] + [(True, markup.html_texts(parse(h))) for h in [h for _, _, h in rows if h][:SAMPLE]]
     xs, ys, held = [], [], []
+    draw = random.Random(7)
     for k, (is_html, texts) in enumerate(docs):
-        for t, d in texts:
+        for t, d in [*texts, *(x for t in texts for x in alone(*t, draw))]:
             f = markup.pieces(t)
             if f:
                 y = [rule(t, form, a, b, f[up][0] if up >= 0 else None) for form, a, b, up in f]
