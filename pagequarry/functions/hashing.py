@@ -16,7 +16,7 @@ from pagequarry.functions import text
 from pagequarry.functions.expr import let
 from pagequarry.functions.html_kernel import WORDS
 
-#: Words per shingle, and the most that one shingle weighs.
+#: Words per shingle (``simhash`` zips three), and the most that one shingle weighs.
 SHINGLE, MOST = 3, 3
 
 
@@ -25,20 +25,20 @@ def normalize(s: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", s).casefold().split())
 
 
-@lru_cache(1 << 16)
-def _code(shingle: str) -> int:
-    return int.from_bytes(hashlib.blake2b(shingle.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+@lru_cache(1 << 17)
+def _code(shingle: str) -> bytes:
+    return hashlib.blake2b(shingle.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
 def simhash(s: str) -> int:
     """64 bits of the weighted shingles of a normalized text, as a signed number; a tie gives 0."""
     words = WORDS.findall(s)
-    counts = Counter(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1))
+    counts = Counter(map(" ".join, zip(words, words[1:], words[2:])))
     if not counts:
         return 0
-    codes = np.array([_code(g) for g in counts], dtype=">u8").view(np.uint8).reshape(-1, 8)
-    weights = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MOST)
-    votes = weights @ (2 * np.unpackbits(codes, axis=1).astype(np.int64) - 1)
+    bits = np.unpackbits(np.frombuffer(b"".join(map(_code, counts)), np.uint8).reshape(-1, 8), axis=1)
+    weights = np.minimum(np.fromiter(counts.values(), np.float64, len(counts)), MOST)
+    votes = 2 * (weights @ bits.astype(np.float64)) - weights.sum()
     return int(np.packbits(votes > 0).view(">i8")[0])
 
 

@@ -11,7 +11,7 @@ from pagequarry.operators import adapt, dedup, diagnostics, report, scoring
 from pagequarry.plans.lineage import cut
 from pagequarry.schema import COMPONENTS
 from pagequarry.sources import snapshot
-from pagequarry.sources.tables import table
+from pagequarry.sources.tables import table, wide
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def html_sniff(spark, sf_dir):
 
 def url_choice(spark, sf_dir):
     """The first address of each row that can be normalized, '' where none can."""
-    return adapt.choose_url(table(spark, sf_dir, "dataset_rows")).select("row_id", "page_url")
+    return adapt.choose_url(wide(table(spark, sf_dir, "dataset_rows"))).select("row_id", "page_url")
 
 
 def titles(spark, sf_dir):
@@ -127,7 +127,7 @@ def html_structure(spark, sf_dir):
     """Everything that the kernel measures of each page."""
     from pagequarry.functions.html_kernel import extract_column
 
-    d = adapt.choose_url(table(spark, sf_dir, "dataset_rows").where("html is not null"))
+    d = adapt.choose_url(wide(table(spark, sf_dir, "dataset_rows").where("html is not null")))
     k = d.select("row_id", extract_column(F.col("html"), F.col("page_url")).alias("k"))
     names = [
         "title", "has_meta_description", "has_json_ld", "canonical_url", "raw_text_chars", "heading_levels", "paragraph_count", "list_count", "table_count", "code_block_count",
@@ -140,7 +140,7 @@ def html_metadata(spark, sf_dir):
     """Sizes and metadata signs of each page."""
     from pagequarry.functions.html_kernel import extract_column
 
-    d = table(spark, sf_dir, "dataset_rows").where("html != ''").select("row_id", F.length("html").cast("long").alias("raw_html_chars"), extract_column(F.col("html"), F.lit("")).alias("k"))
+    d = wide(table(spark, sf_dir, "dataset_rows").where("html != ''")).select("row_id", F.length("html").cast("long").alias("raw_html_chars"), extract_column(F.col("html"), F.lit("")).alias("k"))
     return d.select("row_id", "raw_html_chars", "k.title", "k.has_meta_description", "k.has_json_ld")
 
 
@@ -148,7 +148,7 @@ def link_edges(spark, sf_dir):
     """Distinct internal links of each page, by target."""
     from pagequarry.functions.html_kernel import extract_column
 
-    d = adapt.choose_url(table(spark, sf_dir, "dataset_rows").where("html is not null")).where("page_url != ''")
+    d = adapt.choose_url(wide(table(spark, sf_dir, "dataset_rows").where("html is not null"))).where("page_url != ''")
     links = d.select("page_url", F.explode(extract_column(F.col("html"), F.col("page_url"))["links"]).alias("target"))
     return links.groupBy("target").agg(F.countDistinct("page_url").alias("pages"))
 
@@ -190,7 +190,7 @@ def public_addresses(spark, sf_dir):
 
 
 def _prints(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = wide(table(spark, sf_dir, "documents"))
     return d.select(F.lit("").alias("scope"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("ref"), "text", text.count_words(F.col("text")).alias("words"), F.lit(0.0).alias("boilerplate"))
 
 
@@ -329,7 +329,7 @@ def split_outputs(spark, sf_dir):
 
 def audit_pages(spark, sf_dir):
     """Every delivered row as an audited page or a diagnosis: adapters, kernel, duplicates, scores."""
-    return api.audit_pages(adapt.latest_delivery(table(spark, sf_dir, "dataset_rows"))).drop("collected_at")
+    return api.audit_pages(wide(adapt.latest_delivery(table(spark, sf_dir, "dataset_rows")))).drop("collected_at")
 
 
 def audit_totals(spark, sf_dir):
@@ -339,5 +339,5 @@ def audit_totals(spark, sf_dir):
 
 def audit_documents(spark, sf_dir):
     """The documents audited as plain text, in the order of their ids."""
-    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("dataset_id"), F.col("doc_id").alias("row_index"), "text", "url", "title")
+    d = wide(table(spark, sf_dir, "documents")).select(F.lit("documents").alias("dataset_id"), F.col("doc_id").alias("row_index"), "text", "url", "title")
     return api.audit_pages(d).drop("collected_at")

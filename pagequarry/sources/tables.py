@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the directory ``sf_dir``, whole."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where its files give fewer.
+
+    For work in Python over small tables; large ones have partitions enough and
+    are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
