@@ -119,3 +119,18 @@ def test_sitemaps(spark):
     assert sitemap.parse(gzip.compress(b"<urlset>" + b" " * 3_000_000 + b"</urlset>"))["error"] == "too_large"
     df = spark.createDataFrame([(xml,), (None,)], "b binary").select(sitemap.parse_column(F.col("b")).alias("s"))
     assert [r.s.kind for r in df.collect()] == ["urlset", None]
+
+
+def test_website_outputs(spark, tmp_path):
+    from pagequarry import api
+
+    result = api.audit_website(capture(spark, SITE), AuditConfig(mode="website", start_url="https://e.com", max_depth=1))
+    result.write(str(tmp_path / "out"))
+    audited, other = (spark.read.parquet(str(tmp_path / "out" / x)).count() for x in ("pages", "diagnostics"))
+    report = __import__("json").loads(spark.read.text(str(tmp_path / "out" / "report")).first().value)
+    assert (report["pages_successfully_audited"], report["pages_processed"], report["domain"]) == (audited, audited + other, "e.com")
+    assert report["ai_metadata"]["llms_txt_present"] is None
+    with pytest.raises(Exception, match="exists"):
+        result.write(str(tmp_path / "out"))
+    result.view("audited_site")
+    assert spark.sql("SELECT count(*) FROM audited_site WHERE status = 'audited'").first()[0] == audited
