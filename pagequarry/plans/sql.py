@@ -155,7 +155,7 @@ SELECT row_id, len(h) AS headings, {", ".join(f"len(list_filter(h, lambda x: len
   {_count('m', t.MD_LIST)} AS lists, {_count('m', '(?m)' + t.MD_TABLE)} AS tables, {_count('m', '(?m)' + t.MD_FENCE)} // 2 AS code_blocks FROM m""",
     "markdown_plain": f"WITH m AS (SELECT row_id, {_strip('markdown')} AS s FROM dataset_rows WHERE markdown IS NOT NULL) SELECT row_id, md5({_clean('s')}) AS digest, {_paragraphs('s')} AS paragraphs FROM m",
     "html_metadata": r"""SELECT row_id, length(html) AS raw_html_chars,
-  trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_matches(html, '<meta name="description" content="[^"]*[^"\s][^"]*"') AS has_meta_description,
+  trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, regexp_matches(html, '<meta name="description" content="[^"]*[^"\s][^"]*"') AS has_meta_description,
   regexp_matches(html, '<script type="application/ld\+json"') AS has_json_ld FROM dataset_rows WHERE html <> ''""",
     "url_hosts": "SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS results FROM page_results WHERE url <> '' GROUP BY 1",
     "glob_filter": """WITH p AS (SELECT url, split_part(source_id, ':', 2) AS dataset_id FROM page_results WHERE url <> '' AND source_type = 'dataset'),
