@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.hashing import fingerprints
-from pagequarry.plans.lineage import cut
+from pagequarry.plans.lineage import cut, store
 
 # When rows are compared, and when they count as close.
 MIN_WORDS, MAX_BOILERPLATE = 80, 0.8
@@ -118,7 +118,7 @@ def find_duplicates(docs: DataFrame, near: bool = True) -> DataFrame:
 
     ``docs`` has scope, idx, ref, text, words, boilerplate.
     """
-    rows = cut(exact_classes(fingerprinted(docs)))
+    rows = store(exact_classes(store(fingerprinted(docs))))  # texts are read and hashed once
     if near:
         firsts = rows.where("idx = first_idx and ref = first_ref and bits is not null").select("scope", "idx", "ref", "words", "bits")
         targets = cut(near_targets(firsts)).select("scope", F.col("idx").alias("first_idx"), "target", "d")
