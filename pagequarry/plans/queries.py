@@ -88,13 +88,13 @@ def titles(spark, sf_dir):
 
 def word_counts(spark, sf_dir):
     """Words and estimated tokens of each document."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = wide(table(spark, sf_dir, "documents").where("text is not null"))
     return d.select("doc_id", text.count_words(F.col("text")).alias("words"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def clean_documents(spark, sf_dir):
     """Digest and size of each document's cleaned text, and its status."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    d = wide(table(spark, sf_dir, "documents").where("text is not null")).select("doc_id", text.clean_text(F.col("text")).alias("t"))
     status = text.content_status(F.col("t"), text.count_words(F.col("t")), F.lit(False))
     return d.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"), status.alias("content_status"))
 
@@ -203,7 +203,7 @@ def exact_duplicates(spark, sf_dir):
 
 def shingle_weights(spark, sf_dir):
     """How often each document repeats its shingles: distinct ones, and their capped weight."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(hashing.shingles(F.lower("text"))).alias("g"))
+    d = wide(table(spark, sf_dir, "documents").where("text is not null")).select("doc_id", F.explode(hashing.shingles(F.lower("text"))).alias("g"))
     c = d.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shingles"), F.sum(F.least("n", F.lit(hashing.MOST))).alias("weight"))
 
