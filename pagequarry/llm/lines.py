@@ -28,7 +28,7 @@ from pagequarry.plans.lineage import store
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 3
+BANDS = 6
 ROWS_PER_BAND = 2
 SALTS = 16
 
