@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.expr import let
-from pagequarry.plans.lineage import store
+from pagequarry.plans.lineage import cut, store
 
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORDS = 5
@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 BANDS = 6
 ROWS_PER_BAND = 2
 SALTS = 16
+BUCKET = 512
 
 
 def normal(line: Column) -> Column:
@@ -108,24 +109,59 @@ def shingles(masked: Column) -> Column:
     return let(F.split(masked, " "), runs)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(key, cluster) of the nodes on ``edges`` (key, other): the least key of each connected component, found in rounds.
+
+    In a round each node's greater neighbours, then its lesser ones, are tied to the least of all; no tie
+    between components is made or lost, and the rounds end when each component is a star about its least key.
+    """
+    e = cut(edges.select(F.least("key", "other").alias("lo"), F.greatest("key", "other").alias("hi")).where("lo < hi").distinct())
+    while True:
+        both = e.select(F.col("lo").alias("key"), F.col("hi").alias("other")).unionByName(e.select(F.col("hi").alias("key"), F.col("lo").alias("other")))
+        least = both.groupBy("key").agg(F.least("key", F.min("other")).alias("least"))
+        up = both.where("other > key").join(least, "key").select(F.col("least").alias("lo"), F.col("other").alias("hi")).distinct()
+        least = up.groupBy("hi").agg(F.min("lo").alias("least"))
+        down = up.join(least, "hi").where("lo > least").select(F.col("least").alias("lo"), F.col("lo").alias("hi"))
+        e = cut(down.unionByName(least.select(F.col("least").alias("lo"), "hi")).distinct())
+        ends = e.select(F.col("hi").alias("key"), F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("lo").alias("key"), F.lit(0).alias("n"), F.lit(1).alias("m")))
+        if ends.groupBy("key").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n + m > 1").isEmpty():
+            return e.select(F.col("hi").alias("key"), F.col("lo").alias("cluster"))
+
+
+def close_lines(distinct: DataFrame) -> DataFrame:
+    """(key, other): pairs of lines of a site that link all that share a bucket and are similar.
+
+    Lines that are equal after masking are linked to the least of them, which stands
+    for them; of these all pairs of a bucket are compared, in blocks of bounded size.
+    """
+    member = distinct.select("key", "site", mask(F.col("line")).alias("masked")).mapInArrow(_buckets, "key long, bucket long")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = store(member.join(shared, "bucket"))
+    masked = distinct.join(met.select("key").distinct(), "key").select("key", "site", mask(F.col("line")).alias("masked"))
+    equal = store(masked.select("key", F.min("key").over(Window.partitionBy("site", "masked")).alias("node"), "masked"))
+    grams = F.transform(shingles(F.col("masked")), lambda x: F.xxhash64(x)).alias("grams")
+    node = met.join(equal.where("key = node").select("key", grams), "key").distinct()
+    sizes = node.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    node = node.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = node.select("bucket", F.col("own").alias("i"), F.col("each").alias("j"), "key", "grams")
+    b = node.select("bucket", F.col("each").alias("i"), F.col("own").alias("j"), F.col("key").alias("other"), F.col("grams").alias("others"))
+    m, n = F.size("grams"), F.size("others")
+    common = F.size(F.array_intersect("grams", "others"))
+    met = a.join(b, ["bucket", "i", "j"]).where((F.col("key") < F.col("other")) & (F.least(m, n) >= SIMILARITY * F.greatest(m, n)))
+    close = met.where(common >= SIMILARITY * (m + n - common)).select("key", "other")
+    return close.unionByName(equal.where("key > node").select("key", F.col("node").alias("other")))
+
+
 def clusters(lines: DataFrame) -> DataFrame:
     """(key, rows, cluster) of each distinct line of a site.
 
-    ``rows`` is the number of rows the line stands in. Of each bucket the line
-    with the least key leads; a line joins the least leader that it resembles.
+    ``rows`` is the number of rows the line stands in. Lines that are linked, be it
+    through others, are one cluster, named by its least key.
     """
     once = lines.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("line"), F.min("site").alias("site"))
     distinct = store(once)
-    member = distinct.select("key", "site", mask(F.col("line")).alias("masked")).mapInArrow(_buckets, "key long, bucket long")
-    shared = member.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last").drop("last")
-    linked = member.join(shared, "bucket").where("key != leader").select("key", "leader").distinct()
-    text = distinct.select("key", "line")
-    both = linked.join(text, "key").join(text.select(F.col("key").alias("leader"), F.col("line").alias("other")), "leader")
-    a, b = shingles(mask(F.col("line"))), shingles(mask(F.col("other")))
-    both = both.select("key", "leader", F.size(F.array_intersect(a, b)).alias("common"), F.size(a).alias("m"), F.size(b).alias("n"))
-    close = both.where(F.col("common") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("common")))
-    joined = close.groupBy("key").agg(F.min("leader").alias("leader"))
-    return distinct.select("key", "rows").join(joined, "key", "left").select("key", "rows", F.coalesce("leader", "key").alias("cluster"))
+    joined = components(close_lines(distinct))
+    return distinct.select("key", "rows").join(joined, "key", "left").select("key", "rows", F.coalesce("cluster", "key").alias("cluster"))
 
 
 def repeated_lines(rows: DataFrame, results: DataFrame, min_rows: int = 6) -> DataFrame:

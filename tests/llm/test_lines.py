@@ -102,3 +102,44 @@ def test_few_pairs_at_the_limit_are_missed():
         for k, b in zip(out["key"].to_pylist(), out["bucket"].to_pylist()):
             of[k].add(b)
     assert sum(not of[2 * k] & of[2 * k + 1] for k in range(pairs)) <= 10
+
+
+def test_all_near_lines_are_stripped(spark):
+    """A chain of variants, each near to the next only, is one cluster whichever line has the least key."""
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    # Version k has the words of version k - 1 but for two neighbours: neighbours agree in 110 of 122 shingles.
+    version = [" ".join([f"other{w}" if 6 + 12 * k > i >= 6 and i % 12 in (6, 7) else w for i, w in enumerate(words)]) for k in range(8)]
+    rows = [(k, "d", k, f"Own words number {chr(97 + k)} {chr(98 + k)} alone\n{v}") for k, v in enumerate(version)]
+    results = [(f"dataset:d:{k}", "https://s.example/") for k in range(8)]
+    got = {r.row_id: r for r in lines.strip_lines(spark.createDataFrame(rows, ROWS), spark.createDataFrame(results, RESULTS)).collect()}
+    assert [got[k].removed for k in range(8)] == [1] * 8 and all("Own words" in r.text for r in got.values())
+
+
+def test_bucket_members_are_compared_in_blocks(spark, monkeypatch):
+    """Lines that share a bucket whose least line resembles none of them are linked all the same."""
+    monkeypatch.setattr(lines, "BUCKET", 2)
+
+    def buckets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1] * b.num_rows, pa.int64())], ["key", "bucket"])
+
+    monkeypatch.setattr(lines, "_buckets", buckets)
+    notes = [" ".join(f"{c}{i}" for i in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz") for c in "pqr"]
+    data = [(3 * k + j, "s", note + end) for j, note in enumerate(notes) for k, end in enumerate(("", " x", " y", " z", " n", " x"))]
+    pairs = lines.close_lines(spark.createDataFrame(data, "key long, site string, line string"))
+    got = defaultdict(set)
+    for r in lines.components(pairs).collect():
+        got[r.cluster].add(r.key)
+    assert {k | {c} for c, k in ((c, frozenset(v)) for c, v in got.items())} == {frozenset(range(j, 18, 3)) for j in range(3)}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    chain = list(range(40))
+    rng.shuffle(chain)
+    pairs = list(zip(chain, chain[1:])) + [(100, 101), (102, 101), (200, 200)] + [(300, 300 + k) for k in range(1, 30)]
+    got = {r.key: r.cluster for r in lines.components(spark.createDataFrame(pairs, "key long, other long")).collect()}
+    assert got == {k: 0 for k in range(1, 40)} | {101: 100, 102: 100} | {k: 300 for k in range(301, 330)}
+    assert lines.components(spark.createDataFrame([], "key long, other long")).count() == 0
