@@ -6,8 +6,8 @@ and clusters that stand in many documents are removed. What is compared and
 shuffled is one row per distinct line of a site, not one per line.
 
 Defined results: null texts have no lines; a row without site (no result, null
-or empty url) has no repeated lines; row ids are unique, and of a repeated id
-each row counts; blank lines are numbered but never repeated lines. Empty tables
+or empty url) has no repeated lines; row ids are unique; of a repeated id each
+row counts for a line, and all as one for a cluster of lines in fewer rows; blank lines are numbered but never repeated lines. Empty tables
 give empty results. Columns other than those named are ignored.
 """
 
@@ -164,13 +164,27 @@ def clusters(lines: DataFrame) -> DataFrame:
     return distinct.select("key", "rows").join(joined, "key", "left").select("key", "rows", F.coalesce("cluster", "key").alias("cluster"))
 
 
+def heavy_clusters(c: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
+    """(cluster) of the clusters that stand in ``min_rows`` different rows or more.
+
+    One line in that many rows is enough, and lines in fewer rows by their sum are not; only what is
+    between, where no line stands in ``min_rows`` rows, has its rows counted.
+    """
+    sums = c.groupBy("cluster").agg(F.max("rows").alias("most"), F.sum("rows").alias("total")).where(F.col("total") >= min_rows)
+    sure = sums.where(F.col("most") >= min_rows).select("cluster")
+    open_keys = c.join(sums.where(F.col("most") < min_rows).select("cluster"), "cluster").select("key", "cluster")
+    rows = lines.where("fresh").select("row_id", "key").join(open_keys, "key").select("cluster", "row_id").distinct()
+    counted = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("cluster")
+    return sure.unionByName(counted)
+
+
 def repeated_lines(rows: DataFrame, results: DataFrame, min_rows: int = 6) -> DataFrame:
     """(row_id, line_no, cluster, line_rows) of the lines of clusters that stand in
-    ``min_rows`` rows or more of their site, the lines of a cluster taken together.
+    ``min_rows`` different rows or more of their site, the lines of a cluster taken together.
     """
     lines = store(split_lines(sites(rows, results)))
-    c = clusters(lines.where("fresh"))
-    heavy = c.groupBy("cluster").agg(F.sum("rows").alias("total")).where(F.col("total") >= min_rows).drop("total")
+    c = store(clusters(lines.where("fresh")))
+    heavy = heavy_clusters(c, lines, min_rows)
     keys = c.join(heavy, "cluster").select("key", "cluster", F.col("rows").alias("line_rows"))
     # A line of a large site stands in very many rows: spread each key.
     salted = lines.select("row_id", "line_no", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("_salt"))

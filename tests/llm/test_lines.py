@@ -143,3 +143,13 @@ def test_components(spark):
     got = {r.key: r.cluster for r in lines.components(spark.createDataFrame(pairs, "key long, other long")).collect()}
     assert got == {k: 0 for k in range(1, 40)} | {101: 100, 102: 100} | {k: 300 for k in range(301, 330)}
     assert lines.components(spark.createDataFrame([], "key long, other long")).count() == 0
+
+
+def test_like_entries_of_one_row_are_content(spark):
+    """Six entries that are equal after masking count by their rows: once in one document, six times in six."""
+    entry = ["- consistent draft Makabrand edge", "- consistent draft Tatameth edge", "- consistent draft Speicher edge", "- consistent draft Barimirn edge", "- consistent draft Cerad edge", "- consistent draft Ologor edge"]
+    rows = [(0, "d", 0, "\n".join(entry))] + [(k, "d", k, f"Own words {chr(96 + k)} alone") for k in range(1, 8)]
+    rows += [(20 + k, "e", k, e) for k, e in enumerate(entry)]
+    results = [(f"dataset:d:{k}", "https://s.example/") for k in range(8)] + [(f"dataset:e:{k}", "https://t.example/") for k in range(6)]
+    got = {r.row_id: r.removed for r in lines.strip_lines(spark.createDataFrame(rows, ROWS), spark.createDataFrame(results, RESULTS)).collect()}
+    assert got == {k: 0 for k in range(8)} | {20 + k: 1 for k in range(6)}
