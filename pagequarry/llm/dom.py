@@ -23,6 +23,8 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME = {"li": ("ul", "ol"), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 CLOSED_BY = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SPACE = re.compile(r"\s+")
+#: Stands before each cell in the text of a table row; white space to all that reads it.
+CELL = "\x1f"
 
 
 class Page:
@@ -139,7 +141,7 @@ def parse(html: str) -> Page:
         stack.append(i)
         owner.append(owner[-1] if (name in INLINE and not n and owner[-1]) or (name in ("td", "th") and nid[up]) or (owner[-1] and nid[owner[-1]]) else i)
         if owner[-1] != i:
-            text[owner[-1]].append(" " if name in ("td", "th", "li", "p", "div", "code") and name != "code" else "")
+            text[owner[-1]].append(CELL if name in ("td", "th") else " " if name in ("li", "p", "div") else "")
     if pos < len(html) and not raw:
         text[owner[-1]].append(unescape(html[pos:]))
     return page

@@ -22,7 +22,7 @@ from pathlib import Path
 import numpy as np
 
 from pagequarry.llm import gbt
-from pagequarry.llm.dom import Page
+from pagequarry.llm.dom import CELL, Page
 
 MODEL = Path(__file__).parent / "models" / "markup.json"
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -61,6 +61,7 @@ NAMES = list(FORMS)
 INDEX = {k: i for i, k in enumerate(NAMES)}
 #: Pieces whose content is searched for further pieces.
 NESTING = frozenset("wikitable double link bracket template quotes equals display dollar paren square environment strong strike hash star".split())
+FORMULAS = frozenset("display dollar paren square environment".split())
 #: Elements of HTML; an angle with another name is no tag.
 TAGS = frozenset(
     "a abbr address article aside b big blockquote body br button caption center cite code col dd del div dl dt em embed figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins "
@@ -155,7 +156,7 @@ def html_texts(page: Page) -> list[tuple[str, int]]:
     out = []
     for i, parts in enumerate(page.text):
         if parts and page.tag[i] not in ("pre", "code", "title", "textarea"):
-            s = "".join(parts)
+            s = "".join(parts).replace(CELL, " ")
             if SIGNS.search(s) or "''" in s:
                 out.append((s, page.depth[i]))
     return out
@@ -231,13 +232,27 @@ def _plain(s: str, form: str, kind: str) -> str:
 
 
 def clean(text: str, found: list[tuple[str, int, int, int]], labels: list[int]) -> str:
-    """The text with its pieces of markup put plainly."""
-    out, at = [], 0
-    for (form, a, b, up), x in sorted(zip(found, labels), key=lambda y: (y[0][1], -y[0][2])):
-        if x and a >= at:
-            out += [text[at:a], _plain(text[a:b], form, KINDS[x - 1])]
-            at = b
-    return "".join(out) + text[at:]
+    """The text with its pieces of markup put plainly, those within others first."""
+    below: dict[int, list[int]] = {}
+    for k, x in enumerate(labels):
+        if x:
+            up = found[k][3]
+            while up >= 0 and not labels[up]:
+                up = found[up][3]
+            if up >= 0 and found[up][0] in FORMULAS:  # a formula keeps its commands
+                continue
+            below.setdefault(up, []).append(k)
+
+    def put(lo: int, hi: int, of: int) -> str:
+        out, at = [], lo
+        for k in sorted(below.get(of, ()), key=lambda k: (found[k][1], -found[k][2])):
+            form, a, b, _ = found[k]
+            if a >= at and b <= hi:
+                out += [text[at:a], _plain(put(a, b, k), form, KINDS[labels[k] - 1])]
+                at = b
+        return "".join(out) + text[at:hi]
+
+    return put(0, len(text), -1)
 
 
 def tidy(text: str) -> str:
@@ -268,21 +283,26 @@ def render_page(page: Page) -> str:
     for i, parts in enumerate(page.text):
         s = "".join(parts)
         if s.strip():
-            order.append((page.tag[i], s))
-            if page.tag[i] not in ("pre", "code"):
-                texts.append((s, page.depth[i]))
-    done = iter(label([texts], True)[0])
+            tag, first, n = page.tag[i], len(texts), 0
+            if tag not in ("pre", "code"):
+                # Each cell of a table row is a text of its own; what is before the first counts only if it shows something.
+                cells = s.split(CELL) if tag == "tr" else [s.replace(CELL, " ")]
+                cells = cells[1:] if len(cells) > 1 and not cells[0].strip() else cells
+                texts += [(c, page.depth[i]) for c in cells]
+                n = len(cells)
+            order.append((tag, s.replace(CELL, " "), first, n))
+    done = [tidy(clean(*t)) for t in label([texts], True)[0]]
     out = []
-    for tag, s in order:
+    for tag, s, first, n in order:
         if tag in ("pre", "code"):
             out.append("```\n" + s.strip("\n") + "\n```")
             continue
-        t = tidy(clean(*next(done)))
+        t = done[first] if n else ""
         if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             t = "#" * int(tag[1]) + " " + t
         elif tag in ("li", "dt", "dd"):
             t = "- " + t
         elif tag == "tr":
-            t = "| " + " | ".join(c.strip() for c in re.split(r"\s{2,}|\t", s.strip()) if c.strip()) + " |"
+            t = "| " + " | ".join(c.replace("\n", " ") for c in done[first : first + n]) + " |"
         out.append(t)
     return "\n".join(x for x in out if x)

@@ -144,6 +144,13 @@ def test_clean_text():
     assert page.splitlines()[0] == "## T" and "- x" in page and "```\nk  = 1\n y\n```" in page and "'''" not in page and "<br>" not in page
 
 
+def test_clean_table_rows_and_nested_pieces():
+    page = markup.render_page(parse("<table><tr data-nid=1><td>1</td><td>2</td></tr><tr data-nid=2>\n<th>a '''b''' &lt;br&gt; c</th> <td></td><td>[[P|q]]</td></tr></table>"))
+    assert page.splitlines() == ["| 1 | 2 |", "| a b c |  | q |"]
+    assert markup.render_markdown("see '''[[P|q]]''' there") == "see q there"
+    assert "[[" not in markup.render_markdown("x\n\n{| class=\"wikitable\"\n! a\n|-\n| [[P|q]] || 7\n|}")
+
+
 def test_hierarchy_has_no_contradictions():
     found = [("wikitable", 0, 50, -1), ("rule", 5, 10, 0), ("link", 12, 20, 0), ("link", 60, 70, -1)]
     odds = np.array([[-5, -5, 4, -5], [-5, 6, -5, -5], [-5, 1, -5, -5], [-5, 2, -5, -5]], float)
