@@ -27,34 +27,48 @@ from pagequarry.llm.dom import CELL, Page
 MODEL = Path(__file__).parent / "models" / "markup.json"
 KINDS = ("html", "markdown", "wiki", "latex")
 
+
+
+def one(but: str) -> str:
+    """A sign other than these; a line break if the next line is not blank."""
+    return rf"(?:[^{but}\n]|\n(?![ \t]*\n))"
+
+
+ATTRIBUTE = r"[a-zA-Z_:@][-\w:.]*+\s*+=\s*+(?:\"[^\"<]*+\"|'[^'<]*+'|[^\s\"'<>=`]++)"
+TARGET = r"\((?:(?!\]\()[^)\n])++\)"
+#: A template, and within it others to this depth.
+TEMPLATES = 6
+TEMPLATE = r"\{\{[^{}]++\}\}"
+for _ in range(TEMPLATES):
+    TEMPLATE = rf"\{{\{{(?:[^{{}}]|{TEMPLATE})++\}}\}}"
 #: Pieces that may be markup, by the form of their delimiters.
 FORMS = {
     "comment": r"<!--.*?-->",
-    "angle": r"</?[a-zA-Z!][^<>\n]{0,300}>",
+    "angle": rf"<[a-zA-Z][a-zA-Z0-9]*+(?:\s++{ATTRIBUTE})*+\s*+/?>|</?[a-zA-Z!][^<>\n]*+>",
     "entity": r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});",
     "wikitable": r"\{\|.*?\n\|\}",
-    "image": r"!\[[^\]\n]{0,200}\]\([^)\n]{1,400}\)",
-    "double": r"\[\[[^\[\]\n]{1,300}\]\]",
-    "link": r"\[[^\[\]\n]{1,200}\]\([^)\n]{1,400}\)",
+    "image": rf"!\[(?:(?!!\[){one('\\]')})*+\]{TARGET}",
+    "double": rf"\[\[{one('\\[\\]')}++\]\]",
+    "link": rf"\[{one('\\[\\]')}++\]{TARGET}",
     "outside": r"\[https?://[^\s\]]+(?:[ ][^\]\n]*)?\]",
-    "bracket": r"\[[^\[\]\n]{1,100}\]",
-    "triple": r"\{\{\{[^{}\n]{1,200}\}\}\}",
-    "template": r"\{\{[^{}]{1,400}\}\}",
-    "quotes": r"'{2,5}[^'\n]{1,300}'{2,5}",
-    "equals": r"(?m:^[ \t]*={2,6}[ \t]*[^=\n]{1,200}?[ \t]*={2,6}[ \t]*$)",
-    "display": r"\$\$[^$\n]{1,500}\$\$",
-    "dollar": r"(?<![\w$])\$(?![\s${])[^$\n]{0,300}?[^\s$]\$(?!\w)",
-    "paren": r"\\\(.{1,300}?\\\)",
-    "square": r"\\\[.{1,500}?\\\]",
+    "bracket": r"\[[^\[\]\n]++\]",
+    "triple": rf"\{{\{{\{{{one('{}')}++\}}\}}\}}",
+    "template": TEMPLATE,
+    "quotes": r"'{2,5}[^'\n]++'{2,5}",
+    "equals": r"(?m:^[ \t]*={2,6}[ \t]*[^=\n]+?[ \t]*={2,6}[ \t]*$)",
+    "display": rf"\$\${one('$')}++\$\$",
+    "dollar": r"(?<![\w$])\$(?![\s${])[^$\n]*+(?<=[^\s$])\$(?!\w)",
+    "paren": r"\\\((?:(?!\\[()]).)++\\\)",
+    "square": r"\\\[(?:(?!\\[\[\]]).)++\\\]",
     "environment": r"\\begin\{([a-zA-Z*]+)\}.*?\\end\{\1\}",
-    "command": r"\\[a-zA-Z]+\*?(?:\[[^\]\n]{0,100}\])?(?:\{[^{}\n]{0,200}\})*",
-    "strong": r"\*\*[^*\n]{1,300}\*\*|__[^_\n]{1,300}__",
-    "strike": r"~~[^~\n]{1,300}~~",
+    "command": r"\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*+\])?(?:\{[^{}\n]*+\})*",
+    "strong": rf"\*\*{one('*')}++\*\*|__{one('_')}++__",
+    "strike": rf"~~{one('~')}++~~",
     "fence": r"(?s:```.*?```)",
-    "tick": r"`[^`\n]{1,300}`",
+    "tick": rf"`{one('`')}++`",
     "hash": r"(?m:^[ \t]*#{1,6}[ ][^\n]+$)",
     "rule": r"(?m:^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$)",
-    "star": r"(?<![\w*])\*[^*\s][^*\n]{0,200}\*(?!\w)",
+    "star": r"(?<![\w*])\*[^*\s][^*\n]*+\*(?!\w)",
 }
 PIECE = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=env)').replace('([a-zA-Z*]+)', '(?P<env>[a-zA-Z*]+)')})" for k, v in FORMS.items()), re.S)
 NAMES = list(FORMS)

@@ -128,6 +128,24 @@ def test_markup_kinds(spark, field, text, kinds):
     assert markup.kinds(markup.label([doc], field == "html")[0], "" if field == "html" else "markdown") == kinds
 
 
+@pytest.mark.parametrize(
+    ("field", "text", "kinds"),
+    [
+        ("markdown", "Sum is\n\n$$\nx^2+y^2\n$$\n", {"latex"}), ("markdown", "$$ " + "x^2+y_1 " * 90 + "$$", {"latex"}), ("markdown", "\\[ " + "\\frac{a}{b} + " * 60 + "c \\]", {"latex"}), ("markdown", "\\( " + "x + y + " * 60 + "c^2 \\)", {"latex"}),
+        ("markdown", 'a <img src="data:image/png;base64,' + "Ab1/" * 300 + '" alt="z"> b', {"html"}), ("markdown", 'a <img\n  src="x.png"\n  alt="z"\n> b', {"html"}), ("markdown", "a <b and c\n\n> d", set()), ("markdown", "[[" + "Page of words " * 30 + "|x]]", {"wiki"}),
+        ("markdown", "{{Infobox|name=" + "x y " * 150 + "|b=2}}", {"wiki"}), ("markdown", "{{Infobox|name={{lang|de=Haus}}|b=2}}", {"wiki"}), ("html", "<p>a **" + "bold text " * 50 + "** b</p>", {"markdown"}), ("html", "<p>[x](https://e.example/" + "y" * 500 + ")</p>", {"markdown"}),
+    ],
+)
+def test_long_pieces(field, text, kinds):
+    doc = markup.html_texts(parse(text)) if field == "html" else markup.markdown_texts(text)
+    assert markup.kinds(markup.label([doc], field == "html")[0], "" if field == "html" else "markdown") == kinds
+
+
+def test_long_pieces_are_cleaned():
+    assert "$$" in markup.render_markdown("Sum\n\n$$\nx^2+y^2\n$$\n") and markup.render_markdown('a <img\n  src="x.png"\n  alt="z"\n> b') == "a z b"
+    assert markup.render_markdown("a {{Infobox|name={{lang|de=Haus}}|b=2}} b") == "a b"
+
+
 def test_markup_rows(spark):
     df = rows(spark, [("<p>[[x y]]</p>", "a <b>x</b>"), (None, None), ("", ""), ("<p", "`" * 5000), ("x" * 100_000, "[[" * 5000 + "$" * 3000)]).withColumn("markup", F.lit(1))
     got = {(r.row_id, r.field_name, r.markup) for r in pages.markup_kinds(df).collect()}
