@@ -1,14 +1,17 @@
 """Problem 5: the main body of a page, by minimum-cut labelling of its blocks.
 
-Blocks are the elements that carry an id (``data-nid``). A logistic classifier
-over text, tag, length, links and container gives each block a cost for either
-label; these costs are the terminal capacities of a graph in which blocks are
-tied to their neighbours and to their containers. The minimum cut, found by
-maximum flow, is the labelling.
+Blocks are the elements of the page that own shown text (``dom``); ids that the
+elements may carry (``data-nid``) only name them in results. A logistic
+classifier over text, tag, length, links and container gives each block a cost
+for either label; these costs are the terminal capacities of a graph in which
+blocks are tied to their neighbours and to their containers. The minimum cut,
+found by maximum flow, is the labelling.
 
 Defined results: null, empty and block-less pages give no rows. Markup never
-raises. Repeated block ids of one page are labelled one by one and reported
-once each if they do not belong to the body.
+raises. An id stands for the block its element belongs to; an element that
+holds several blocks does not belong to the body if none of them does, one
+without shown text if the container it stands in has no block of the body.
+Repeated ids of one page are reported once each.
 """
 
 from __future__ import annotations
@@ -54,8 +57,8 @@ def _share(x: float) -> str:
 
 
 def features(page: Page) -> tuple[list[int], list[list[str]]]:
-    """The elements with an id, and the names of the features that each has."""
-    items = [i for i, n in enumerate(page.nid) if n]
+    """The blocks, and the names of the features that each has."""
+    items = page.blocks
     if not items:
         return items, []
     strings = [page.string(i) for i in items]
@@ -72,6 +75,7 @@ def features(page: Page) -> tuple[list[int], list[list[str]]]:
     for k, b in enumerate(box):
         by_box.setdefault(b, []).append(k)
     info = {}
+    place_of = {k: at for ks in by_box.values() for at, k in enumerate(ks)}
     for b, ks in by_box.items():
         mean = sum(len(words[k]) for k in ks) // len(ks)
         links = sum(dense[k] for k in ks) / len(ks)
@@ -107,13 +111,13 @@ def features(page: Page) -> tuple[list[int], list[list[str]]]:
             "bias", f"T{t}", f"T{t}<{page.tag[page.parent[i]]}", f"L{_bucket(n)}", f"L{_bucket(n)}{t}", f"E{end}{_bucket(n)}", f"K{_share(dense[k])}{t}",
             f"H{place}", f"H{place}{t}", f"O{place}{'<' if head is not None and k < head else '>'}",
         ]
-        f += ["W" + x for x in set(w[:8])]
+        f += ["W" + x for x in set(w)]
         f += [f"B{a} {b}" for a, b in zip(w[:4], w[1:5])]
         if w:
             f += [f"F{t}{w[0]}", f"Z{w[-1]}"]
         f += info[box[k]]
         ks = by_box[box[k]]
-        at = ks.index(k)
+        at = place_of[k]
         f.append(f"P{tags[ks[at - 1]]}{_bucket(len(words[ks[at - 1]]))}{t}" if at else f"P-{t}")
         if at:
             first = words[ks[0]]
@@ -158,8 +162,15 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
     rest = [i for i in range(n) if label[i] is None]
     if not rest:
         return [bool(x) for x in label]
-    # Maximum flow over what is left, along shortest paths.
-    s, t = n, n + 1
+    reached = _source_side(rest, u, near)
+    for i in rest:
+        label[i] = i in reached
+    return [bool(x) for x in label]
+
+
+def _source_side(rest: list[int], u: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes that the source still reaches once the flow is at its maximum (blocking flows over levels)."""
+    s, t = -1, -2
     cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest}
     cap[s], cap[t] = {}, {}
     for i in rest:
@@ -168,29 +179,74 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
         elif u[i] < 0:
             cap[i][t], cap[t][i] = -u[i], 0.0
     while True:
-        back = {s: s}
+        level = {s: 0}
         queue = deque([s])
-        while queue and t not in back:
+        while queue:
             i = queue.popleft()
             for j, c in cap[i].items():
-                if c > 1e-12 and j not in back:
-                    back[j] = i
+                if c > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if t not in back:
-            break
-        flow, j = float("inf"), t
-        while j != s:
-            flow = min(flow, cap[back[j]][j])
-            j = back[j]
-        j = t
-        while j != s:
-            i = back[j]
-            cap[i][j] -= flow
-            cap[j][i] = cap[j].get(i, 0.0) + flow
+        if t not in level:
+            return set(level)
+        ahead = {i: [j for j in cap[i] if level.get(j) == d + 1] for i, d in level.items()}
+        path = [s]
+        while path:
+            i = path[-1]
+            if i == t:
+                flow = min(cap[a][b] for a, b in zip(path, path[1:]))
+                cut_at = len(path) - 1
+                for k in range(len(path) - 2, -1, -1):
+                    a, b = path[k], path[k + 1]
+                    cap[a][b] -= flow
+                    cap[b][a] = cap[b].get(a, 0.0) + flow
+                    if cap[a][b] <= 1e-12:
+                        cut_at = k + 1
+                del path[cut_at:]
+                continue
+            while ahead[i] and cap[i][ahead[i][-1]] <= 1e-12:
+                ahead[i].pop()
+            if ahead[i]:
+                path.append(ahead[i][-1])
+            else:
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
+
+
+def aside_ids(page: Page, items: list[int], body: list[bool]) -> list[int]:
+    """The ids of a page whose elements do not belong to its main body."""
+    out = set()
+    label = dict(zip(items, body))
+    rest = []
+    for i, n in enumerate(page.nid):
+        if n:
+            own = label.get(page.owner[i])
+            if own is None:
+                rest.append(i)
+            elif not own:
+                out.add(n)
+    if rest:
+        held = _held(page, label)
+        for i in rest:
             j = i
-    for i in rest:
-        label[i] = i in back
-    return [bool(x) for x in label]
+            while j > 0 and j not in held:
+                j = page.parent[j]
+            if j in held and not held[j]:
+                out.add(page.nid[i])
+    return sorted(out)
+
+
+def _held(page: Page, label: dict[int, bool]) -> dict[int, bool]:
+    """For each element that holds blocks, whether one of them belongs to the body."""
+    held: dict[int, bool] = {}
+    for i in range(len(page.tag) - 1, -1, -1):
+        if i in label:
+            held[i] = held.get(i, False) or label[i]
+        if i in held and i > 0:
+            up = page.parent[i]
+            held[up] = held.get(up, False) or held[i]
+    return held
 
 
 def classify(page: Page) -> tuple[list[int], list[float], list[bool]]:
@@ -220,4 +276,7 @@ def classify(page: Page) -> tuple[list[int], list[float], list[bool]]:
             j = page.parent[j]
         if j > 0 and j in boxes:
             edges.append((boxes[b], boxes[j], NESTED))
-    return items, scores, minimum_cut(unary, edges)[: len(items)]
+    body = minimum_cut(unary, edges)[: len(items)]
+    if not any(body) and len(boxes) == 1 and not any(page.link_chars[i] for i in items):
+        body = [True] * len(items)  # a page that is one run of text has nothing beside its body
+    return items, scores, body

@@ -12,6 +12,9 @@ from pagequarry.llm import blocks, markup, residue
 from pagequarry.llm.dom import parse
 from pagequarry.plans.lineage import store
 
+#: Parts of a body that very many rows show.
+SALTS = 16
+
 
 def _aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -19,15 +22,14 @@ def _aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = parse(html)
             items, _, body = blocks.classify(page)
-            for i, b in zip(items, body):
-                if not b:
-                    ids.append(row_id)
-                    nids.append(page.nid[i])
+            aside = blocks.aside_ids(page, items, body)
+            ids += [row_id] * len(aside)
+            nids += aside
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nids, pa.int64())], ["row_id", "nid"])
 
 
 def aside_blocks(rows: DataFrame, id_col: str = "row_id", html_col: str = "html") -> DataFrame:
-    """(row_id, nid): the blocks of each page that do not belong to its main body."""
+    """(row_id, nid): the ids of elements of each page that do not belong to its main body; none where no element has an id."""
     html = rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(html_col).alias("html")).where("html != ''")
     return html.mapInArrow(_aside, "row_id long, nid long").distinct()
 
@@ -63,30 +65,47 @@ _SIGN_TYPES = [pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_(), pa.fl
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, html, address, title = (c.to_pylist() for c in batch.columns)
-        found = [residue.detect(h, parse(h), a or "", t or "") for h, a, t in zip(html, address, title)]
+        found = [residue.detect(parse(h), a or "", t or "") for h, a, t in zip(html, address, title)]
         cols = [pa.array([f[k] for f in found], t) for k, t in zip(_SIGNS, _SIGN_TYPES)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols], ["row_id", *_SIGNS])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, batch.column(2)], ["row_id", *_SIGNS, "address"])
 
 
 def residue_signs(rows: DataFrame) -> DataFrame:
-    """One row per page with what its detectors found, and on how many addresses its host shows the same."""
+    """One row per page with what its detectors found, on how many addresses its host shows
+    the same body (``shown``), and on how many hosts it is shown (``hosts``).
+
+    Rows of one address count once; a row without address is no evidence.
+    """
     address = F.coalesce(*[F.when(F.col(c).rlike(r"(?i)^\s*https?://"), F.trim(c)) for c in ("loadedurl", "url", "canonicalurl")])
     html = rows.select(F.col("row_id").cast("long").alias("row_id"), "html", address.alias("address"), "title").where("html != ''")
     kinds = "placeholder boolean, filler boolean, notice boolean, errors int, short boolean, match double, chars int, print long"
-    signs = html.mapInArrow(_signs, f"row_id long, {kinds}")
-    # Host evidence: only short bodies, by their print; counted before it is shuffled.
-    where = rows.select("row_id", F.regexp_replace(F.lower(F.try_parse_url(address, F.lit("HOST"))), r"^www\.", "").alias("host")).where("host is not null")
-    short = store(signs).alias("signs")
-    seen = short.where("short").join(where, "row_id").select("row_id", "print", "host")
-    counted = seen.groupBy("host", "print").agg(F.count(F.lit(1)).alias("shown"))
-    evidence = seen.join(counted, ["host", "print"]).groupBy("row_id").agg(F.max("shown").alias("shown"))
-    return short.join(evidence, "row_id", "left").select("row_id", *_SIGNS, F.coalesce("shown", F.lit(1)).alias("shown"))
+    signs = store(html.mapInArrow(_signs, f"row_id long, {kinds}, address string"))
+    # Host evidence: only bodies of low information, by their print; counted before it is joined.
+    host = F.regexp_replace(F.lower(F.try_parse_url(F.col("address"), F.lit("HOST"))), r"^www\.", "")
+    place = F.regexp_replace(F.lower("address"), r"^https?://(?:www\.)?|[?#].*$|/+$", "")
+    seen = signs.where("short").select("row_id", "print", host.alias("host"), place.alias("place")).where("host is not null")
+    shown = seen.groupBy("print", "host", "place").agg(F.lit(1).alias("one")).groupBy("print", "host").agg(F.count(F.lit(1)).alias("shown"))
+    counted = store(shown)
+    hosts = counted.groupBy("print").agg(F.count(F.lit(1)).alias("hosts"))
+    # Only what is shown twice is evidence; a message that very many rows show is spread.
+    spread = counted.join(hosts, "print").where("shown > 1 or hosts > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    evidence = salted.join(spread, ["print", "host", "_salt"]).groupBy("row_id").agg(F.max("shown").alias("shown"), F.max("hosts").alias("hosts"))
+    one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
+    return signs.join(evidence, "row_id", "left").select("row_id", *_SIGNS, one("shown"), one("hosts"))
 
 
 def is_residue() -> Column:
-    """Whether the signs of a page are those of a page without real content."""
-    mismatch = (F.col("match") < 0.5).cast("int") + (F.col("shown") >= 3).cast("int")
-    message = F.col("short") & ((F.col("errors") >= 2) | ((F.col("errors") >= 1) & (mismatch >= 1)) | ((F.col("match") < 0.2) & (F.col("shown") >= 5)))
+    """Whether the signs of a page are those of a page without real content.
+
+    A body of low information is a message by two pieces of evidence: error phrases (each one),
+    an address and title that it does not fit, and the same body at other addresses or hosts.
+    Without a phrase, it must fit nothing and be shown at five addresses or more.
+    """
+    differs, repeated = F.coalesce(F.col("match") < 0.5, F.lit(False)), (F.col("shown") >= 3) | (F.col("hosts") >= 3)
+    votes = F.least("errors", F.lit(2)) + differs.cast("int") + repeated.cast("int")
+    alien = F.coalesce(F.col("match") < 0.2, F.lit(False)) & ((F.col("shown") >= 5) | (F.col("hosts") >= 5))
+    message = F.col("short") & (((F.col("errors") >= 1) & (votes >= 2)) | alien)
     return F.col("placeholder") | F.col("filler") | F.col("notice") | message
 
 
