@@ -51,16 +51,15 @@ def rule(text: str, form: str, a: int, b: int, parent: str | None) -> int:
     return 1 + markup.KINDS.index(kind) if kind else 0
 
 
-def alone(text: str, depth: int, draw: random.Random) -> list[tuple[str, int]]:
-    """The outermost pieces of a text with little around them, at any depth: what a piece is does not hang on these."""
+def alone(text: str, draw: random.Random) -> list[str]:
+    """The outermost pieces of a text with little around them: what a piece is does not hang on these."""
     out = []
     for form, a, b, up in markup.pieces(text):
         if up < 0 and form in markup.INDEX:
             room = draw.choice((0, 0, 5, 30))
             lo = text.rfind("\n", 0, a) + 1 if form in ("equals", "hash", "rule") else max(0, a - room)
             near = text[lo:b] + ("" if form in ("equals", "hash", "rule") else text[b : b + room])
-            out.append((near, draw.randint(1, 9)))
-            out.append((re.sub(r"(?<![\\\\</&])\b[A-Za-z]{4,}\b", lambda m: other(m[0], draw), near), draw.randint(1, 9)))
+            out += [near, re.sub(r"(?<![\\\\</&])\b[A-Za-z]{4,}\b", lambda m: other(m[0], draw), near)]
     return out
 
 
@@ -80,12 +79,14 @@ def main(folder: str) -> None:
     docs = [(False, markup.markdown_texts(m)) for m in [m for _, m, _ in rows if m][:SAMPLE]] + [(True, markup.html_texts(parse(h))) for h in [h for _, _, h in rows if h][:SAMPLE]]
     xs, ys, held = [], [], []
     draw = random.Random(7)
+    pool = [v for is_html, texts in docs[::7] for _, _, nodes in texts for v in nodes]
     for k, (is_html, texts) in enumerate(docs):
-        for t, d in [*texts, *(x for t in texts for x in alone(*t, draw))]:
-            f = markup.pieces(t)
+        # Pieces alone stand in any node, so that no tag or token of the pages at hand decides.
+        for t in [*texts, *((s, [0], draw.choice(pool)[None]) for t, _, _ in texts for s in alone(t, draw))]:
+            f = markup.pieces(t[0])
             if f:
-                y = [rule(t, form, a, b, f[up][0] if up >= 0 else None) for form, a, b, up in f]
-                xs.append(markup.describe(t, f, d, is_html))
+                y = [rule(t[0], form, a, b, f[up][0] if up >= 0 else None) for form, a, b, up in f]
+                xs.append(markup.describe(t, f, is_html))
                 ys += y
                 held += [k % 5 == 0] * len(f)
     x, y, held = np.concatenate(xs), np.array(ys), np.array(held)

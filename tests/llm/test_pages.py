@@ -261,6 +261,53 @@ def test_clean_table_rows_and_nested_pieces():
     assert "[[" not in markup.render_markdown("x\n\n{| class=\"wikitable\"\n! a\n|-\n| [[P|q]] || 7\n|}")
 
 
+@pytest.mark.parametrize(
+    "md",
+    [
+        "Sum\n\n$$a = \\frac{1}{2}$$", "# T\n\n| a | b |\n|---|---|\n| 1 | 2 |", "- one\n  - two\n    - three\n\n1. x\n2. y\n\n    code of the entry", "Text\n\n    indented <b>code</b>\n      more [[x]]\n\nend",
+        "Use `<i>` and ``a ` b`` here", "```\nx  [[y]]\n```", "a formula $x^2_1$ and a price of $5", "",
+    ],
+)
+def test_clean_text_stays_as_it_is(md):
+    assert markup.render_markdown(md) == md
+
+
+@pytest.mark.parametrize(
+    ("md", "clean"),
+    [
+        ("$$\na = \\frac{1}{2}\n$$", "$$a = \\frac{1}{2}$$"), ("x <table><tr><td>1</td><td>2</td></tr></table> y", "x\n\n| 1 | 2 |\n\ny"), ("\\begin{itemize}\n\\item one\n\\item \\emph{two}\n\\end{itemize}", "- one\n- two"),
+        ("\\begin{align}\na&=b\\\\\nc&=d\n\\end{align}", "$$a&=b\\\\\nc&=d$$"), ('{| class="wikitable"\n! h !! i\n|-\n| [[P|q]] || 7\n|}', "| h | i |\n| --- | --- |\n| q | 7 |"), ("**bold [[P|q]]** `[[r]]`", "bold q `[[r]]`"),
+        ('a <img alt="it\'s" src="x"> b', "a it's b"),
+    ],
+)
+def test_structure_is_kept(md, clean):
+    assert markup.render_markdown(md) == clean
+
+
+def test_page_structure_is_kept():
+    page = "<table><tr><th>h<th>i<tr><td>one<td>two three</table><ol><li>a<ul><li>b<li>c</ul><li><p>d</p><p>e</p></ol><pre>k  = 1\n y</pre><h2>T</h2><p>Use <code>x &lt;b&gt; [[y]]</code> here</p><blockquote>q</blockquote>"
+    parts = ["| h | i |\n| --- | --- |\n| one | two three |", "1. a\n  - b\n  - c\n2. d\n  e", "```\nk  = 1\n y\n```", "## T", "Use `x <b> [[y]]` here", "> q"]
+    assert markup.render_page(parse(page)) == "\n\n".join(parts)
+    assert markup.kinds(markup.label([markup.html_texts(parse(page))], True)[0], "") == set()
+
+
+def test_node_features():
+    page = parse('<div class="note math"><p>a **b** c</p><p>plain</p><ul><li>[[x]] y</li></ul></div>')
+    a, b = markup.html_texts(page)
+    depth, size, chars, links, density, signs, kin, share = a[2][0][:8]
+    assert (depth, size, chars, links, density) == (2, 1, 9, 0, 9) and signs == pytest.approx(4 / 9) and kin == 3 and share == pytest.approx(2 / 3)
+    assert a[2][0][12:].sum() > 1 and b[2][0][0] == 3 and a[2].shape == (1, markup.NODE_FEATURES)
+    text, starts, nodes = markup.markdown_texts("# T\n\ntext [[x]]\n\n- a\n\n- b")[0]
+    assert len(starts) == len(nodes) == 4 and [int(v[12:19].argmax()) for v in nodes] == [1, 0, 2, 2]
+
+
+def test_deep_pieces():
+    text = "{{{1|" * 3 + "x" + "}}}" * 3 + " " + "\\[ " * 3000 + "**__" * 3000
+    assert markup.pieces(text) is not None
+    deep = "'''" + "**" + "''" + "__" + "[[P|q]]" + "__" + "''" + "**" + "'''"
+    assert any(f == "double" for f, *_ in markup.pieces(deep))
+
+
 def test_hierarchy_has_no_contradictions():
     found = [("wikitable", 0, 50, -1), ("rule", 5, 10, 0), ("link", 12, 20, 0), ("link", 60, 70, -1)]
     odds = np.array([[-5, -5, 4, -5], [-5, 6, -5, -5], [-5, 1, -5, -5], [-5, 2, -5, -5]], float)
