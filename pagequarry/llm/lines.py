@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.expr import let
-from pagequarry.plans.lineage import cut, store
+from pagequarry.llm.graph import components
+from pagequarry.plans.lineage import store
 
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORDS = 5
@@ -109,25 +110,6 @@ def shingles(masked: Column) -> Column:
     return let(F.split(masked, " "), runs)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, cluster) of the nodes on ``edges`` (key, other): the least key of each connected component, found in rounds.
-
-    In a round each node's greater neighbours, then its lesser ones, are tied to the least of all; no tie
-    between components is made or lost, and the rounds end when each component is a star about its least key.
-    """
-    e = cut(edges.select(F.least("key", "other").alias("lo"), F.greatest("key", "other").alias("hi")).where("lo < hi").distinct())
-    while True:
-        both = e.select(F.col("lo").alias("key"), F.col("hi").alias("other")).unionByName(e.select(F.col("hi").alias("key"), F.col("lo").alias("other")))
-        least = both.groupBy("key").agg(F.least("key", F.min("other")).alias("least"))
-        up = both.where("other > key").join(least, "key").select(F.col("least").alias("lo"), F.col("other").alias("hi")).distinct()
-        least = up.groupBy("hi").agg(F.min("lo").alias("least"))
-        down = up.join(least, "hi").where("lo > least").select(F.col("least").alias("lo"), F.col("lo").alias("hi"))
-        e = cut(down.unionByName(least.select(F.col("least").alias("lo"), "hi")).distinct())
-        ends = e.select(F.col("hi").alias("key"), F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("lo").alias("key"), F.lit(0).alias("n"), F.lit(1).alias("m")))
-        if ends.groupBy("key").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n + m > 1").isEmpty():
-            return e.select(F.col("hi").alias("key"), F.col("lo").alias("cluster"))
-
-
 def close_lines(distinct: DataFrame) -> DataFrame:
     """(key, other): pairs of lines of a site that link all that share a bucket and are similar.
 

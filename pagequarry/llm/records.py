@@ -3,7 +3,9 @@
 Each row's text becomes a multiset of (name, value) digests. The digests are
 combined by sums, which do not depend on the order of fields, and rows are
 grouped by these sums. A row joins a group only after its own multiset of
-digests has been found equal to that of the group's representative.
+fields, each by its SHA-256, has been found equal to that of the group's
+representative; one that differs (two multisets of one sum) stays with the rows
+that have its letters and digits in the same order.
 
 Defined results: a null text, and a text without letter or digit, belongs to no
 record (``record_id`` is the row's own id, ``copies`` is 1). Repeated ids count
@@ -13,16 +15,21 @@ results. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from pagequarry.plans.lineage import cut
+from pagequarry.llm.graph import components
+from pagequarry.plans.lineage import cut, store
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 #: A line of a record: a name, the first separator after it, a value.
-NAME = r"[\p{L}\p{N}][^:=|\t→>]{0,79}?"
+NAME = r"[\p{L}\p{N}][^:=|\t→>]*?"
 SEPARATOR = r"(?:->|=>|[:=|\t→]|[ \u00a0][-–—~][ \u00a0])"
-FIELD = rf"^[^\p{{L}}\p{{N}}]*({NAME})[ \u00a0]*{SEPARATOR}(.*)$"
+FIELD = rf"^[^\p{{L}}\p{{N}}]*({NAME}){SEPARATOR}(.*)$"
 #: Bits of each lane of the multiset sum. 2**19 fields of 44 bits fit a long.
 LANE_BITS = 44
 SALTS = 16
@@ -66,17 +73,26 @@ def keyed(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> Da
     where the text is no record.
     """
     t = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    t = t.select("id", F.md5(squash(F.col("text"))).alias("base"), _fields(F.col("text")).alias("f"))
-    digest = F.transform("f", lambda e: F.md5(F.concat(e["n"], F.lit("\u0000"), e["v"])))
+    t = t.select("id", F.sha2(squash(F.col("text")), 256).alias("base"), _fields(F.col("text")).alias("f"))
+    digest = F.transform("f", lambda e: F.sha2(F.concat(e["n"], F.lit("\u0000"), e["v"]), 256))
     t = t.select("id", "base", F.col("f").isNotNull().alias("is_record"), F.coalesce(digest, F.array("base")).alias("digests"))
     d = F.col("digests")
-    return t.withColumn("print", F.struct(_lane(d, 1).alias("a"), _lane(d, 2).alias("b"), _lane(d, 3).alias("c"), F.size(d).alias("n")))
+    return t.withColumn("print", F.concat_ws(":", *[_lane(d, k).cast("string") for k in (1, 2, 3)], F.size(d).cast("string")))
+
+
+def _counts_agree(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else Counter(x) == Counter(y) for x, y in zip(a, b)], dtype="object")
 
 
 def _same(a: Column, b: Column) -> Column:
-    """Equality of two arrays as multisets, without sorting them."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return (F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x))
+    """Equality of two arrays as multisets, without sorting them, in time linear in their size.
+
+    As sets where no field repeats (of strings: sets of binary values are compared pair by pair); only rows with repeated fields have them counted (in Arrow batches).
+    """
+    repeats = F.size(F.array_distinct(a)) < F.size(a)
+    sets = (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    counted = F.pandas_udf(_counts_agree, BooleanType())(F.when(repeats & sets, a), F.when(repeats & sets, b))
+    return sets & (~repeats | F.coalesce(counted, F.lit(False)))
 
 
 def _with_leader(rows: DataFrame, key: str, leader: DataFrame, cols: list[str]) -> DataFrame:
@@ -87,15 +103,11 @@ def _with_leader(rows: DataFrame, key: str, leader: DataFrame, cols: list[str])
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    """Least ``print`` reachable from each ``base``, over bases whose rows disagree."""
-    state = edges.select("base", F.col("print").alias("p"), F.col("print").alias("label"))
-    while True:
-        by_base = state.groupBy("base").agg(F.min("label").alias("m"))
-        by_print = state.join(by_base, "base").groupBy("p").agg(F.min("m").alias("label"))
-        after = cut(state.select("base", "p", F.col("label").alias("old")).join(by_print, "p"))
-        if after.where(F.col("old") != F.col("label")).isEmpty():
-            return after.groupBy("base").agg(F.min("label").alias("label"))
-        state = after.select("base", "p", "label")
+    """(base, label) over bases whose rows disagree: one label for all that are linked by shared fingerprints."""
+    named = components(edges.select(F.concat(F.lit("b"), "base").alias("key"), F.concat(F.lit("p"), "print").alias("other")))
+    return named.where(F.col("key").startswith("b")).select(F.substring("key", 2, 64).alias("base"), "cluster").unionByName(
+        named.select(F.substring("cluster", 2, 64).alias("base"), "cluster").where(F.col("cluster").startswith("b")).distinct()
+    ).select("base", F.col("cluster").alias("label"))
 
 
 def _base_labels(k: DataFrame) -> DataFrame:
@@ -111,16 +123,16 @@ def record_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text
     # Fields in any order: the representative of a fingerprint is its least row.
     lead = k.groupBy("print").agg(F.min(F.struct("id", "digests")).alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select("print", F.col("rep.digests").alias("rep"))
     k = _with_leader(k, "print", lead, ["rep"])
-    own = F.struct(F.lit(-1).cast("long").alias("a"), F.xxhash64("base").alias("b"), F.xxhash64("base", F.lit(7)).alias("c"), F.size("digests").alias("n"))
-    k = k.withColumn("print", F.when(F.col("rep").isNull() | _same(F.col("digests"), F.col("rep")), F.col("print")).otherwise(own)).drop("rep", "digests")
+    own = F.concat(F.lit("="), "base")
+    k = cut(k.select("id", "base", "is_record", F.when(F.col("rep").isNull() | _same(F.col("digests"), F.col("rep")), F.col("print")).otherwise(own).alias("print")))
     # The same letters and digits in the same order: one record, however it is laid out.
     bases = cut(_base_labels(k))
     if not bases.where("torn").isEmpty():
-        reach = _labels(cut(k.where("is_record").select("base", "print").distinct()))
-        k = k.join(reach, "base", "left").withColumn("print", F.when(F.col("is_record"), F.coalesce("label", "print")).otherwise(F.col("print"))).drop("label")
+        reach = _labels(k.where("is_record").select("base", "print").distinct())
+        k = cut(_with_leader(k, "base", reach, ["label"]).withColumn("print", F.when(F.col("is_record"), F.coalesce("label", "print")).otherwise(F.col("print"))).drop("label"))
         bases = _base_labels(k)
     k = _with_leader(k, "base", bases.select("base", "label"), ["label"])
-    return k.select("id", F.coalesce("label", "print").alias("group"))
+    return store(k.select("id", F.coalesce("label", "print").alias("group")))
 
 
 def pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """SQL that states the same as some of the queries."""
 
 _SQUASH = "replace(replace(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), 'ß', 'ss'), 'ς', 'σ')".format
-_FIELD = r"^[^\p{L}\p{N}]*([\p{L}\p{N}][^:=|\t→>]{0,79}?)[ \x{a0}]*(?:->|=>|[:=|\t→]|[ \x{a0}][-–—~][ \x{a0}])(.*)$"
+_FIELD = r"^[^\p{L}\p{N}]*([\p{L}\p{N}][^:=|\t→>]*?)(?:->|=>|[:=|\t→]|[ \x{a0}][-–—~][ \x{a0}])(.*)$"
 
 _P3_GROUPS = rf"""
 WITH t AS (

@@ -51,3 +51,24 @@ def test_empty_repeated_and_other_columns(spark):
 def test_hot_record(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Same: text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
     assert groups(records.pairs(df)) == {0: set(range(3, 3000, 3))}
+
+
+def test_long_names_and_many_fields(spark):
+    name = "a field with a very long name " * 4
+    many = [f"name {k}: value {k}" for k in range(30_000)]
+    rows = [(1, f"{name}: 1\nb: 2"), (2, f"b = 2\n{name} = 1"), (3, "\n".join(many)), (4, "\n".join(reversed(many))), (5, "\n".join([*many, "name 0: value 0"])), (6, "\n".join(["name 0: value 0", *reversed(many)])), (7, "\n".join([*many, "name 1: value 1"]))]
+    assert groups(records.pairs(frame(spark, rows))) == {1: {2}, 3: {4}, 5: {6}}
+
+
+def test_equality_is_checked(spark, monkeypatch):
+    """Rows whose sums agree and whose fields do not are no record."""
+    monkeypatch.setattr(records, "_lane", lambda digests, k: F.lit(1).cast("long"))
+    rows = [(1, "a: 1\nb: 2"), (2, "b: 2\na: 1"), (3, "a: 3\nb: 4"), (4, "A = 3\nB = 4"), (5, "a: 1\na: 1"), (6, "a: 1\nb: 1")]
+    assert groups(records.pairs(frame(spark, rows))) == {1: {2}, 3: {4}}
+
+
+def test_chain_of_torn_letters(spark):
+    """Records linked by letters, by fields, by letters and so on are one, however long the chain."""
+    cuts = ["a: bcd\nx: y", "ab: cd\nx: y", "abc: d\nx: y"]
+    rows = [(k, c) for k, c in enumerate(cuts)] + [(10 + k, "\n".join(reversed(c.split("\n")))) for k, c in enumerate(cuts)]
+    assert groups(records.pairs(frame(spark, rows))) == {0: {1, 2, 10, 11, 12}}
