@@ -92,4 +92,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shares(wide(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p2_found, p2_remaining, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_bodies, p6_containers, p6_usage, p7_drawn, p7_shares, p8_found, p8_shares)}
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document that stand elsewhere too."""
+    return spans.passages(wide(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p2_found, p2_remaining, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_bodies, p6_containers, p6_usage, p7_drawn, p7_shares, p8_found, p8_shares, p8_passages)}

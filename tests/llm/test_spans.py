@@ -59,14 +59,22 @@ def test_shares(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert spans.found(df).count() == 0 and spans.shares(df).count() == 0
+    assert spans.found(df).count() == 0 and spans.shares(df).count() == 0 and spans.passages(df).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=120), st.integers(1, 12))
 def test_compact_windows(values, width):
     h = np.array(values, np.uint64)
-    got = set(spans.compact_windows(h, width))
+    windows = spans.compact_windows(h, width)
+    got = {x for a, b, _, _ in windows for x in (a, b)}
+    begins = []
+    for a, b, lo, hi in windows:
+        begins += range(lo, hi + 1)
+        assert len(set(values[a : b + 1])) == 1
+        for s in range(lo, hi + 1):
+            assert min(values[s : s + width]) == values[a]
+    assert sorted(begins) == list(range(max(0, len(values) - width + 1)))  # each run in one window
     for i in range(len(values) - width + 1):
         window = values[i : i + width]
         at = i + window.index(min(window))
@@ -79,6 +87,58 @@ def test_compact_windows(values, width):
         assert got & {at, first, last}
 
 
+def brute_passages(docs, least):
+    """Of each document, the merged spans that stand in another one, and the least document that holds one."""
+    holders = {}
+    for i, t in docs:
+        for s in range(len(t or "") - least + 1):
+            holders.setdefault(t[s : s + least], set()).add(i)
+    out = set()
+    for i, t in docs:
+        runs = []
+        for s in range(len(t or "") - least + 1):
+            h = holders[t[s : s + least]]
+            if len(h) > 1:
+                if runs and s <= runs[-1][1]:
+                    runs[-1][1:] = [s + least, min(runs[-1][2], min(h))]
+                else:
+                    runs.append([s, s + least, min(h)])
+        out |= {(i, *r) for r in runs}
+    return out
+
+
+def passages(spark, docs):
+    return {tuple(r) for r in spans.passages(spark.createDataFrame(docs, SCHEMA)).collect()}
+
+
+def test_passages_against_brute_force(spark):
+    docs = make()
+    got, want = passages(spark, docs), brute_passages(docs, 200)
+    assert {g[:3] for g in got} == {w[:3] for w in want} and len(got) > 40
+    copied = {3, 100, 101}  # of copies the first stands for all
+    assert {g for g in got if g[0] not in copied} == {w for w in want if w[0] not in copied}
+
+
+@pytest.mark.parametrize("size", [200, 230, 700])
+def test_one_passage_in_many_documents(spark, size):
+    """Its length or more, in documents that differ all around it: rows grow with the documents, not with their pairs."""
+    rng = random.Random(size)
+    chars = "abcdefghijklmnopqrstuvwxyz "
+    p = "".join(rng.choice(chars) for _ in range(size))
+    docs = []
+    for k in range(400):
+        before, after = ("".join(rng.choice(chars) for _ in range(rng.randint(150, 300))) for _ in "ab")
+        docs.append((k, before + "<" + p + ">" + after))
+    got = passages(spark, docs)
+    assert got == brute_passages(docs, 200) and len(got) == 400 and all(b - a >= size + 2 for _, a, b, _ in got)
+
+
+def test_runs_within_one_document(spark):
+    docs = [(1, "ab" * 3000), (2, "x" + "ab" * 3000), (3, "q" * 100 + "ba" * 90), (4, "only here " * 200)]
+    assert passages(spark, docs) == brute_passages(docs, 200)
+    assert {tuple(r) for r in spans.found(spark.createDataFrame(docs, SCHEMA)).collect()} == {(1, 2)}
+
+
 @pytest.mark.parametrize("n", [0, 5, 99, 100, 101, 70_000])
 def test_gram_hashes(n):
     codes = np.random.default_rng(1).integers(0, 50, n).astype(np.uint32)
