@@ -151,28 +151,46 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype="bool")
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (key, other) whose lines are similar."""
+    chosen = pairs.select(F.col("key").alias("node")).unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+    text = store(nodes.select("node", "masked").join(chosen, "node").dropDuplicates(["node"]))
+    named = pairs.join(text.select(F.col("node").alias("key"), F.col("masked").alias("a")), "key").join(text.select(F.col("node").alias("other"), F.col("masked").alias("b")), "other")
+    return named.where(F.pandas_udf(_alike, BooleanType())("a", "b")).select("key", "other")
+
+
 def close_lines(nodes: DataFrame) -> DataFrame:
-    """(key, other): pairs of ``nodes`` (node, site, masked) of a site that share a bucket and are similar.
+    """(key, other): pairs of ``nodes`` (node, site, masked) of a site that share a bucket and are
+    similar, as many as link all that are.
 
-    A node may stand in several rows.
+    A node may stand in several rows. In a bucket of more than ``BUCKET`` nodes those like the least one
+    are linked by it and not compared with each other; all others are compared with all.
     """
     sketch = ", ".join(f"{c} long" for c in SKETCH)
     signed = store(nodes.select("node", "site", "masked").mapInArrow(_signatures, f"node long, chars int, buckets array<long>, {sketch}"))
     member = signed.select("node", F.explode("buckets").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    met = store(member.join(sizes.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")), "bucket").distinct())
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    met = store(member.join(sizes, "bucket").distinct())
+    large = met.where("parts > 1")
+    links = None
+    met = met.withColumn("apart", F.lit(True))
+    if not large.isEmpty():
+        lead = large.groupBy("bucket").agg(F.min("node").alias("key"))
+        led = store(large.join(lead, "bucket").select("bucket", "key", F.col("node").alias("other")))
+        links = store(_verified(led.where("key < other").select("key", "other").distinct(), nodes))
+        near = led.join(links, ["key", "other"]).select("bucket", F.col("other").alias("node"), F.lit(False).alias("far"))
+        near = near.unionByName(lead.select("bucket", F.col("key").alias("node"), F.lit(False).alias("far")))
+        met = met.drop("apart").join(near, ["bucket", "node"], "left").select("bucket", "node", "parts", ((F.col("parts") == 1) | F.coalesce("far", F.lit(True))).alias("apart"))
     once = signed.select("node", "chars", *SKETCH).join(met.select("node").distinct(), "node").dropDuplicates(["node"])
     member = met.join(once, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    a = member.select("bucket", F.col("own").alias("i"), F.col("each").alias("j"), F.col("node").alias("key"), F.col("chars").alias("m"), *SKETCH)
-    b = member.select("bucket", F.col("each").alias("i"), F.col("own").alias("j"), F.col("node").alias("other"), F.col("chars").alias("n"), *[F.col(c).alias(f"o{c}") for c in SKETCH])
+    a = member.select("bucket", F.col("own").alias("i"), F.col("each").alias("j"), F.col("node").alias("key"), F.col("chars").alias("m"), "apart", *SKETCH)
+    b = member.select("bucket", F.col("each").alias("i"), F.col("own").alias("j"), F.col("node").alias("other"), F.col("chars").alias("n"), F.col("apart").alias("too"), *[F.col(c).alias(f"o{c}") for c in SKETCH])
     agree = sum((_agreeing(F.col(c), F.col(f"o{c}")) for c in SKETCH), F.lit(0))
     # Shingles of two lines at the limit differ in number by a third at most; repeated ones allow for more characters.
-    met = a.join(b, ["bucket", "i", "j"]).where((F.col("key") < F.col("other")) & (F.least("m", "n") >= 0.5 * F.greatest("m", "n")) & (agree >= SKETCH_AGREES * 8 * len(SKETCH)))
-    pairs = store(met.select("key", "other").distinct())
-    chosen = pairs.select(F.col("key").alias("node")).unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    text = store(nodes.select("node", "masked").join(chosen, "node").dropDuplicates(["node"]))
-    named = pairs.join(text.select(F.col("node").alias("key"), F.col("masked").alias("a")), "key").join(text.select(F.col("node").alias("other"), F.col("masked").alias("b")), "other")
-    return named.where(F.pandas_udf(_alike, BooleanType())("a", "b")).select("key", "other")
+    fits = (F.col("apart") | F.col("too")) & (F.least("m", "n") >= 0.5 * F.greatest("m", "n")) & (agree >= SKETCH_AGREES * 8 * len(SKETCH))
+    pairs = store(a.join(b, ["bucket", "i", "j"]).where((F.col("key") < F.col("other")) & fits).select("key", "other").distinct())
+    close = _verified(pairs, nodes)
+    return close if links is None else close.unionByName(links)
 
 
 def clusters(lines: DataFrame) -> DataFrame:

@@ -159,6 +159,19 @@ def test_all_near_lines_are_stripped(spark):
     assert [got[k].removed for k in range(8)] == [1] * 8 and all("Own words" in r.text for r in got.values())
 
 
+@pytest.mark.parametrize("size", [2, 40])
+def test_large_bucket_of_like_lines(spark, monkeypatch, size):
+    """Those like the least line are linked by it, not each with each; others of the bucket are not lost."""
+    monkeypatch.setattr(lines, "BUCKET", size)
+    rng = random.Random(5)
+    base = sentence(rng, 30)
+    like = [" ".join([*base[:k], "zq" * 3, *base[k + 1 :]]) for k in range(20)] + [" ".join([*base, f"end{k}"]) for k in range(20)]
+    data = [(k, "s", t) for k, t in enumerate(like)]
+    pairs = lines.close_lines(spark.createDataFrame(data, "node long, site string, masked string"))
+    assert {(r.key, r.cluster) for r in lines.components(pairs).collect()} == {(k, 0) for k in range(1, 40)}
+    assert (pairs.distinct().count() < 200) == (size == 2)
+
+
 def test_bucket_members_are_compared_in_blocks(spark, monkeypatch):
     """Lines that share a bucket whose least line resembles none of them are linked all the same."""
     monkeypatch.setattr(lines, "BUCKET", 2)
