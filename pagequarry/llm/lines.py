@@ -46,6 +46,8 @@ BANDS, ROWS_PER_BAND = 8, 4
 SKETCH_AGREES = 0.45
 SALTS = 16
 BUCKET = 512
+#: Nodes that a task remembers, so as not to repeat them.
+SEEN = 1 << 20
 
 
 def normal(line: Column) -> Column:
@@ -73,24 +75,37 @@ def sites(rows: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(row_id, line_no, key, fresh, site, line) of each line that has a letter.
+    """(row_id, line_no, key, site, node, masked) of each line that has a letter.
 
-    Equal lines of a site have one ``key``; the first of a row is ``fresh``.
+    Equal lines of a site have one ``key``, equal masked ones one ``node``; only the first of a key in a row has a node.
     """
     with_keys = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).cast("long").alias("no"), F.when(x.rlike(r"\p{L}"), F.xxhash64("site", normal(x))).alias("key"), x.alias("line")))
     lettered = F.filter(with_keys, lambda e: e["key"].isNotNull())
     d = docs.select("row_id", "site", lettered.alias("ls")).select("row_id", "site", "ls", F.col("ls.key").alias("ks"))
     e = d.select("row_id", "site", "ks", F.posexplode("ls").alias("at", "l"))
-    return e.select("row_id", F.col("l.no").alias("line_no"), F.col("l.key").alias("key"), (F.array_position("ks", F.col("l.key")) == F.col("at") + 1).alias("fresh"), "site", F.col("l.line").alias("line"))
+    masked = F.when(F.array_position("ks", F.col("l.key")) == F.col("at") + 1, mask(F.col("l.line")))
+    e = e.select("row_id", F.col("l.no").alias("line_no"), F.col("l.key").alias("key"), "site", masked.alias("masked"))
+    return e.select("row_id", "line_no", "key", "site", F.when(F.col("masked").isNotNull(), F.xxhash64("site", "masked")).alias("node"), "masked")
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (node, site, masked): each node's length, buckets and sketch, from the least hashes of its shingles; once per batch."""
+    """Of (node, site, masked): each node's length, buckets and sketch, from the least hashes of its shingles.
+
+    A node is given once of the last ``SEEN`` or so, not of all.
+    """
+    seen: set[int] = set()
     seeds = [np.uint64(xxhash.xxh64_intdigest(b"seed", k)) for k in range(BANDS * ROWS_PER_BAND)]
     for batch in batches:
         if not batch.num_rows:
             continue
         node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        if len(seen) > SEEN:
+            seen.clear()
+        new = np.fromiter((k not in seen for k in node.tolist()), bool, len(node))
+        node, first = node[new], first[new]
+        seen.update(node.tolist())
+        if not len(node):
+            continue
         masked = batch.column(2).take(pa.array(first))
         site = np.array([xxhash.xxh64_intdigest(s) for s in batch.column(1).take(pa.array(first)).to_pylist()], np.uint64)
         codes = np.frombuffer("".join(masked.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -197,13 +212,14 @@ def clusters(lines: DataFrame) -> DataFrame:
     """(key, rows, cluster) of each distinct line of a site.
 
     ``rows`` is the number of rows the line stands in. Lines that are equal after masking are one node;
-    nodes that are linked, be it through others, are one cluster, named by its least node.
+    nodes that are linked, be it through others or by a line that is masked in two ways, are one
+    cluster, named by its least node.
     """
-    once = lines.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("line"), F.min("site").alias("site"))
-    masked = once.select("key", "rows", "site", mask(F.col("line")).alias("masked"))
-    distinct = store(masked.select("key", "rows", "site", "masked", F.xxhash64("site", "masked").alias("node")))
-    joined = components(close_lines(distinct)).withColumnRenamed("key", "node")
-    return distinct.select("key", "rows", "node").join(joined, "node", "left").select("key", "rows", F.coalesce("cluster", "node").alias("cluster"))
+    first = lines.where("node is not null")
+    once = store(first.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"), F.max("node").alias("last")))
+    close = close_lines(first.select("node", "site", "masked"))
+    joined = components(close.unionByName(once.where("node < last").select(F.col("node").alias("key"), F.col("last").alias("other")))).withColumnRenamed("key", "node")
+    return once.join(joined, "node", "left").select("key", "rows", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def heavy_clusters(c: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
@@ -215,7 +231,7 @@ def heavy_clusters(c: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
     sums = c.groupBy("cluster").agg(F.max("rows").alias("most"), F.sum("rows").alias("total")).where(F.col("total") >= min_rows)
     sure = sums.where(F.col("most") >= min_rows).select("cluster")
     open_keys = c.join(sums.where(F.col("most") < min_rows).select("cluster"), "cluster").select("key", "cluster")
-    rows = lines.where("fresh").select("row_id", "key").join(open_keys, "key").select("cluster", "row_id").distinct()
+    rows = lines.where("node is not null").select("row_id", "key").join(open_keys, "key").select("cluster", "row_id").distinct()
     counted = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("cluster")
     return sure.unionByName(counted)
 
@@ -225,7 +241,7 @@ def repeated_lines(rows: DataFrame, results: DataFrame, min_rows: int = 6) -> Da
     ``min_rows`` different rows or more of their site, the lines of a cluster taken together.
     """
     lines = store(split_lines(sites(rows, results)))
-    c = store(clusters(lines.where("fresh")))
+    c = store(clusters(lines))
     heavy = heavy_clusters(c, lines, min_rows)
     keys = c.join(heavy, "cluster").select("key", "cluster", F.col("rows").alias("line_rows"))
     # A line of a large site stands in very many rows: spread each key.
