@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import html_kernel, text, urls
+from pagequarry.plans.lineage import store
 from pagequarry.schema import CONTENT_FIELDS, SOURCE_FIELDS, URL_FIELDS
 
 # Limits and thresholds of the adapter.
@@ -23,20 +24,37 @@ NOTHING_VISIBLE = "HTML field contains no usable visible content."
 NOT_PARSED = "Dataset content could not be parsed."
 
 
+def numbered(rows: DataFrame, dataset: Column, order: list[str]) -> DataFrame:
+    """``rows`` with their place in their dataset (from 0) as ``row_index``, by ``order`` and then by all else they hold.
+
+    Rows are sorted into ranges, counted per range, and numbered within it: no task holds a dataset. Rows
+    that are equal in everything are numbered in any order.
+    """
+    texts = [F.col(c) for c in rows.columns if c not in order]
+    keyed = rows.withColumns({"_dataset": dataset, "_rest": F.xxhash64(*texts) if texts else F.lit(0).cast("long")})
+    by = ["_dataset", *order, "_rest"]
+    ranged = store(keyed.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("_dataset").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_dataset", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_dataset", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_dataset", "_range").orderBy(*by[1:]))
+    named = offsets.withColumnsRenamed({"_dataset": "_d", "_range": "_r"})
+    placed = ranged.withColumn("_at", within).join(named, (F.col("_range") == F.col("_r")) & F.col("_dataset").eqNullSafe(F.col("_d")))
+    return placed.withColumn("row_index", (F.col("_offset") + F.col("_at") - 1).cast("long")).drop("_dataset", "_rest", "_range", "_at", "_d", "_r", "_offset")
+
+
 def source_rows(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The recognised fields as strings (missing ones null), with ``dataset_id`` and a ``row_index`` from 0.
 
     Where ``row_index`` is missing, rows are numbered by ``order`` within their
-    dataset. Other columns are dropped.
+    dataset, without it by a hash of what they hold: the same in every run. Other columns are dropped.
     """
     lower = {c.lower(): c for c in rows.columns}
-    chosen = [(F.col(lower[f]) if f in lower and dict(rows.dtypes)[lower[f]] == "string" else F.lit(None).cast("string")).alias(f) for f in SOURCE_FIELDS]
     dataset = F.col("dataset_id") if "dataset_id" in lower else F.lit("rows")
-    if "row_index" in lower:
-        index = F.col(lower["row_index"]).cast("long")
-    else:
-        index = (F.row_number().over(Window.partitionBy(dataset).orderBy(*(order or [F.lit(1)]))) - 1).cast("long")
-    return rows.select(dataset.alias("dataset_id"), index.alias("row_index"), *chosen)
+    if "row_index" not in lower:
+        rows, lower["row_index"] = numbered(rows, dataset, order or []), "row_index"
+    chosen = [(F.col(lower[f]) if f in lower and dict(rows.dtypes)[lower[f]] == "string" else F.lit(None).cast("string")).alias(f) for f in SOURCE_FIELDS]
+    return rows.select(dataset.alias("dataset_id"), F.col(lower["row_index"]).cast("long").alias("row_index"), *chosen)
 
 
 def latest_delivery(rows: DataFrame, by: str = "ingested_at", tie: str = "row_id") -> DataFrame:

@@ -37,20 +37,24 @@ def responses(captured: DataFrame) -> DataFrame:
     return store(snapshot.classify(snapshot.latest(df), snapshot.TEXT_MIMES))
 
 
-def site_rules(start: str, known: DataFrame, enabled: bool = True) -> robots.Rules:
-    """Rules of the origin of ``start``: one captured row."""
+def site_rules(start: str, known: DataFrame, enabled: bool = True, public_only: bool = True) -> robots.Rules:
+    """Rules of the origin of ``start``, redirects of its robots.txt followed: one captured row.
+
+    A file over the limit of auxiliary files is not used, as one that failed.
+    """
     origin = start.split("/", 3)
     url = f"{origin[0]}//{origin[2]}/robots.txt"
-    row = known.where(F.col("url") == url).select("status", "error.code", "body").limit(1).collect()
-    if not row:
-        return robots.rules(url, None, None, "network_error", enabled)
-    status, code, body = row[0]
-    text = bytes(body or b"")[: robots.MAX_BYTES].decode("utf-8", "replace")
-    return robots.rules(url, text, status, code, enabled)
+    if not enabled:
+        return robots.rules(url, None, enabled=False)
+    asked = known.sparkSession.createDataFrame([(url, urls.host_of(start))], "url string, start_host string")
+    found = snapshot.resolve(asked, known, public_only)
+    row = found.select("http_status", F.coalesce("error.code", F.when(F.octet_length("body") > snapshot.MAX_AUXILIARY_BYTES, "too_large")).alias("code"), F.when(F.octet_length("body") <= snapshot.MAX_AUXILIARY_BYTES, F.col("body")).alias("body")).first()
+    status, code, body = row
+    return robots.rules(url, bytes(body or b"").decode("utf-8", "replace"), status, code)
 
 
-def sitemap_urls(start: str, known: DataFrame, rules: robots.Rules) -> tuple[list[str], list[str]]:
-    """Pages that the sitemaps of ``start`` list, in order, and warnings. At most 20 files are read."""
+def sitemap_urls(start: str, known: DataFrame, rules: robots.Rules, public_only: bool = True) -> tuple[list[str], list[str]]:
+    """Pages that the sitemaps of ``start`` list, in order, and warnings. At most 20 files are read, redirects followed."""
     host = urls.host_of(start)
     origin = start.split("/", 3)
     level = list(dict.fromkeys(filter(None, (urls.normalize(u) for u in [*rules.sitemaps, f"{origin[0]}//{origin[2]}/sitemap.xml"]))))[: sitemap.MAX_FILES]
@@ -61,24 +65,29 @@ def sitemap_urls(start: str, known: DataFrame, rules: robots.Rules) -> tuple[lis
     while level and len(visited) < sitemap.MAX_FILES and len(pages) < sitemap.MAX_URLS:
         level = [u for u in level if u not in visited][: sitemap.MAX_FILES - len(visited)]
         visited += level
-        read = known.where(F.col("url").isin(level) & (F.col("outcome") == "document"))
-        files = {r["url"]: r["s"] for r in read.select("url", sitemap.parse_column(F.col("body")).alias("s")).collect()}
-        failed = {r["url"]: (r["status"], r["code"]) for r in known.where(F.col("url").isin(level) & (F.col("outcome") == "failed")).select("url", "status", "error.code").collect()}
+        asked = known.sparkSession.createDataFrame([(u, host) for u in level], "url string, start_host string")
+        found = store(snapshot.resolve(asked, known, public_only))
+        files = {r["url"]: (r["final_url"], r["s"]) for r in found.where("error is null").select("url", "final_url", sitemap.parse_column(F.coalesce("body", F.lit(b""))).alias("s")).collect()}
+        failed = {r["url"]: (r["http_status"], r["code"]) for r in found.where("error is not null").select("url", "http_status", "error.code").collect()}
         nested: list[str] = []
         for u in level:
             if not rules.allowed(u) and rules.checked:
                 warnings.append("Sitemap not used (robots_disallowed).")
                 continue
             if u not in files:
-                if failed.get(u, (404, ""))[0] != 404:
-                    warnings.append(f"Sitemap not used ({failed[u][1]}).")
+                status, code = failed.get(u, (None, "network_error"))
+                if status != 404 and (status is not None or code != "network_error" or u in rules.sitemaps):  # what was never captured is not told apart from what is not there
+                    warnings.append(f"Sitemap not used ({code}).")
+                continue
+            final, s = files[u]
+            if final != u and rules.checked and not rules.allowed(final):
+                warnings.append("Sitemap not used (robots_disallowed).")
                 continue
-            s = files[u]
             if s["error"]:
                 warnings.append(f"Sitemap not used ({s['error']}).")
             if s["truncated"]:
                 warnings.append(CUT_OFF)
-            for target in (urls.normalize(x, u) for x in s["urls"]):
+            for target in (urls.normalize(x, final) for x in s["urls"]):
                 if target is None or urls.host_of(target) != host:
                     continue
                 if s["kind"] == "sitemapindex":
@@ -123,14 +132,14 @@ def audit_site(captured: DataFrame, config: AuditConfig, public_only: bool = Tru
     if start is None:
         raise ValueError(snapshot.INVALID_URL)
     host = urls.host_of(start)
-    rules = site_rules(start, known, config.respect_robots_txt)
+    rules = site_rules(start, known, config.respect_robots_txt, public_only)
     warnings = [rules.warning] if rules.warning else []
     permit = _permission(rules)
     frontier = offer(spark.createDataFrame([(start, 0, 0)], "url string, parent long, place long"), spark.createDataFrame([], "url string"), config, MAX_QUEUE, 0)
     queue = cut(frontier.withColumn("depth", F.lit(0)))
     extra = None
     if config.max_depth > 0:
-        listed, more = sitemap_urls(start, known, rules)
+        listed, more = sitemap_urls(start, known, rules, public_only)
         warnings += more
         if listed:
             extra = spark.createDataFrame([(u, -1, k) for k, u in enumerate(listed)], "url string, parent long, place long")

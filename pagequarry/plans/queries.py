@@ -268,10 +268,14 @@ def response_diagnostics(spark, sf_dir):
     return d.groupBy("status", "error_code", "content_status").agg(F.count(F.lit(1)).alias("responses"))
 
 
+def _known(spark, sf_dir):
+    s = table(spark, sf_dir, "capture_snapshot").withColumn("url", urls.normalize_url(F.col("url"))).where("url is not null")
+    return cut(snapshot.classify(snapshot.latest(s)))
+
+
 def followed_redirects(spark, sf_dir):
     """Where the captured urls that redirect lead (W08); the network policy is left out, since the addresses are not public."""
-    s = table(spark, sf_dir, "capture_snapshot").withColumn("url", urls.normalize_url(F.col("url"))).where("url is not null")
-    known = cut(snapshot.classify(snapshot.latest(s)))
+    known = _known(spark, sf_dir)
     asked = known.where("outcome = 'redirect'").select("url", urls.host(F.col("url")).alias("start_host"))
     return snapshot.resolve(asked, known, public_only=False).select("url", "final_url", F.col("error.code").alias("error_code"), "http_status")
 
@@ -279,8 +283,7 @@ def followed_redirects(spark, sf_dir):
 def site_files(spark, sf_dir):
     """Whether the sites of website jobs offer llms.txt and llms-full.txt."""
     jobs = table(spark, sf_dir, "audit_jobs").where("run_mode = 'website' and start_url is not null").select(urls.normalize_url(F.col("start_url")).alias("start_url")).where("start_url is not null").distinct()
-    known = snapshot.classify(snapshot.latest(table(spark, sf_dir, "capture_snapshot")))
-    return snapshot.text_files(jobs, known)
+    return snapshot.text_files(jobs, _known(spark, sf_dir), public_only=False)
 
 
 # Report

@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from urllib.parse import quote, unquote, urlsplit
 
 USER_AGENT = "pagequarry"
-# The largest auxiliary body, the sitemaps taken of one file, the answers that mean there are no rules.
-MAX_BYTES, MAX_SITEMAPS = 256_000, 20
+# The sitemaps taken of one file, the answers that mean there are no rules.
+MAX_SITEMAPS = 20
 ABSENT = (404, 410)
 
 

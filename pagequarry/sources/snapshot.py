@@ -12,7 +12,7 @@ from pagequarry.plans.lineage import cut
 PAGE_MIMES = ("text/html", "application/xhtml+xml", "text/plain", "text/markdown")
 TEXT_MIMES = (*PAGE_MIMES, "application/xml", "text/xml", "application/gzip", "application/x-gzip")
 HTML_MIMES = ("text/html", "application/xhtml+xml")
-MAX_BODY_BYTES = 2_000_000
+MAX_BODY_BYTES, MAX_AUXILIARY_BYTES = 2_000_000, 256_000
 MAX_REDIRECTS = 5
 REDIRECTS = (301, 302, 303, 307, 308)
 # Messages of the errors.
@@ -115,17 +115,16 @@ def resolve(requests: DataFrame, responses: DataFrame, public_only: bool = True)
     return done.join(bodies, "final_url", "left")
 
 
-def text_files(starts: DataFrame, responses: DataFrame, names: tuple[str, ...] = ("llms.txt", "llms-full.txt")) -> DataFrame:
-    """(start_url, name, present, status, error): whether each site offers the files that describe it to models."""
+def text_files(starts: DataFrame, responses: DataFrame, names: tuple[str, ...] = ("llms.txt", "llms-full.txt"), public_only: bool = True) -> DataFrame:
+    """(start_url, name, present, status, error): whether each site offers the files that describe it to models, redirects followed."""
     root = F.concat(F.try_parse_url("start_url", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("start_url", F.lit("AUTHORITY")), F.lit("/"))
     asked = starts.select("start_url", F.explode(F.array(*[F.lit(n) for n in names])).alias("name")).withColumn("url", F.concat(root, F.col("name")))
-    answer = responses.select("url", "status", "mime_type", "outcome", F.col("error.code").alias("code"), F.decode("body", "UTF-8").alias("text"))
-    got = asked.join(answer, "url", "left")
+    found = resolve(asked.select("url", urls.host(F.col("url")).alias("start_host")), responses, public_only).drop("start_host")
+    code = F.coalesce("error.code", F.when(~F.col("mime_type").isin(*PAGE_MIMES), "unsupported_mime"), F.when(F.octet_length("body") > MAX_AUXILIARY_BYTES, "too_large"))
+    got = asked.join(found.select("url", "http_status", "mime_type", code.alias("code"), F.coalesce(F.decode("body", "UTF-8"), F.lit("")).alias("text")), "url")
     page = F.col("mime_type").isin(*HTML_MIMES) | F.contains(F.lower("text"), F.lit("<html"))
-    found = F.col("outcome") == "document"
+    fine = F.col("code").isNull()
     return got.select(
-        "start_url", "name",
-        F.when(found, (F.trim(F.coalesce("text", F.lit(""))) != "") & ~F.coalesce(page, F.lit(False))).when(F.col("status").isin(404, 410), False).alias("present"),
-        "status",
-        F.when(found & page, "html_response").when(~found, F.col("code")).when(F.col("outcome").isNull(), "network_error").alias("error"),
+        "start_url", "name", F.when(fine, (F.trim("text") != "") & ~page).when(F.col("http_status").isin(404, 410), False).alias("present"),
+        F.col("http_status").alias("status"), F.when(fine & page, "html_response").when(~fine, F.col("code")).alias("error"),
     )

@@ -91,6 +91,30 @@ def test_redirects(spark):
     assert got["ok"][1] == "https://e.com/a"
 
 
+def test_auxiliary_files_that_redirect(spark):
+    """robots.txt, sitemaps and llms files are followed; what does not resolve is not used, and refused for robots."""
+    moved = [
+        ("https://e.com/robots.txt", {"status": 301, "location": "/rules.txt"}), ("https://e.com/rules.txt", {"mime": "text/plain", "body": "User-agent: *\nDisallow: /private\nSitemap: https://e.com/map.xml\n"}),
+        ("https://e.com/map.xml", {"status": 302, "location": "/maps/new.xml"}), ("https://e.com/maps/new.xml", {"mime": "application/xml", "body": "<urlset><url><loc>/mapped</loc></url></urlset>"}), *SITE[2:],
+        ("https://e.com/llms.txt", {"status": 307, "location": "/about.txt"}), ("https://e.com/about.txt", {"mime": "text/plain", "body": "# e"}), ("https://e.com/llms-full.txt", {"mime": "text/plain", "body": "x" * 300_000}),
+    ]
+    pages, warnings = run(spark, AuditConfig(mode="website", start_url="https://e.com", max_depth=1), moved)
+    got = {p.source_id.removeprefix("https://e.com"): p for p in pages}
+    assert got["/private/x"].error_code == "robots_disallowed" and "/mapped" in got and not warnings
+    known = crawl.responses(capture(spark, moved))
+    files = {r.name: (r.present, r.status, r.error) for r in snapshot.text_files(spark.createDataFrame([("https://e.com/",)], "start_url string"), known).collect()}
+    assert files == {"llms.txt": (True, 200, None), "llms-full.txt": (None, 200, "too_large")}
+    away = [("https://e.com/robots.txt", {"status": 301, "location": "https://other.com/robots.txt"}), ("https://other.com/robots.txt", {"mime": "text/plain", "body": "User-agent: *\nAllow: /"}), *SITE[1:]]
+    rules = crawl.site_rules("https://e.com/", crawl.responses(capture(spark, away)))
+    assert not rules.allowed("https://e.com/a") and "off_host" in rules.warning
+
+
+def test_long_robots_files_are_refused(spark):
+    long = [("https://e.com/robots.txt", {"mime": "text/plain", "body": "User-agent: *\n" + "# x\n" * 80_000 + "Disallow: /\n"})]
+    rules = crawl.site_rules("https://e.com/", crawl.responses(capture(spark, long)))
+    assert not rules.allowed("https://e.com/a") and "too_large" in rules.warning
+
+
 def test_text_files(spark):
     site = [("https://e.com/llms.txt", {"mime": "text/plain", "body": "# e"}), ("https://e.com/llms-full.txt", {"mime": "text/html", "body": "<html>"}), ("https://f.com/llms.txt", {"status": 404})]
     starts = spark.createDataFrame([("https://e.com/",), ("https://f.com/",)], "start_url string")
