@@ -35,11 +35,11 @@ SALTS = 16
 BUCKET = 512
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
+def fingerprinted(docs: DataFrame, digest: str = "blake2b") -> DataFrame:
     """(scope, idx, ref, words, raw, norm, bits) of ``docs`` with a text: scope, idx, ref, text, words, boilerplate."""
     eligible = (F.col("words") >= MIN_WORDS) & (F.col("boilerplate") <= MAX_BOILERPLATE)
     some = docs.where(F.length("text") > 0)
-    some = some.select("scope", "idx", "ref", "words", F.sha2("text", 256).alias("raw"), fingerprints(F.col("text"), eligible).alias("f"))
+    some = some.select("scope", "idx", "ref", "words", F.sha2("text", 256).alias("raw"), fingerprints(F.col("text"), eligible, digest).alias("f"))
     return some.select("scope", "idx", "ref", "words", "raw", "f.norm", "f.bits")
 
 
@@ -113,12 +113,12 @@ def near_targets(firsts: DataFrame) -> DataFrame:
     return members.select("scope", "idx", best.alias("best")).where("best is not null").select("scope", "idx", "best.target", "best.d")
 
 
-def find_duplicates(docs: DataFrame, near: bool = True) -> DataFrame:
+def find_duplicates(docs: DataFrame, near: bool = True, digest: str = "blake2b") -> DataFrame:
     """(ref, duplicate_status, duplicate_of, similarity, duplicate_match) of ``docs`` with a text.
 
-    ``docs`` has scope, idx, ref, text, words, boilerplate.
+    ``docs`` has scope, idx, ref, text, words, boilerplate; ``digest`` gives the bits of a shingle.
     """
-    rows = store(exact_classes(store(fingerprinted(docs))))  # texts are read and hashed once
+    rows = store(exact_classes(store(fingerprinted(docs, digest))))  # texts are read and hashed once
     if near:
         firsts = rows.where("idx = first_idx and ref = first_ref and bits is not null").select("scope", "idx", "ref", "words", "bits")
         targets = cut(near_targets(firsts)).select("scope", F.col("idx").alias("first_idx"), "target", "d")

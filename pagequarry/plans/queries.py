@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry import api
+from pagequarry.config import AuditConfig
 from pagequarry.functions import hashing, text, urls
 from pagequarry.operators import adapt, dedup, diagnostics, report, scoring
 from pagequarry.plans.lineage import cut
@@ -130,10 +131,10 @@ def html_structure(spark, sf_dir):
     d = adapt.choose_url(wide(table(spark, sf_dir, "dataset_rows").where("html is not null")))
     k = d.select("row_id", extract_column(F.col("html"), F.col("page_url")).alias("k"))
     names = [
-        "title", "has_meta_description", "has_json_ld", "canonical_url", "raw_text_chars", "heading_levels", "paragraph_count", "list_count", "table_count", "code_block_count",
+        "title", "has_meta_description", "has_json_ld", "canonical_url", "raw_text_chars", "paragraph_count", "list_count", "table_count", "code_block_count",
         "internal_link_count", "external_link_count", "js_shell", "word_count", "boilerplate_ratio",
     ]
-    return k.select("row_id", *[f"k.{n}" for n in names], F.md5("k.text").alias("text_digest"))
+    return k.select("row_id", *[f"k.{n}" for n in names], F.array_join(F.col("k.heading_levels").cast("array<string>"), "").alias("heading_levels"), F.md5("k.text").alias("text_digest"))
 
 
 def html_metadata(spark, sf_dir):
@@ -214,6 +215,12 @@ def near_duplicates(spark, sf_dir):
     return found.select(F.col("ref").cast("long").alias("doc_id"), "duplicate_status", F.col("duplicate_of").cast("long").alias("duplicate_of"), "similarity", "duplicate_match")
 
 
+def near_duplicates_md5(spark, sf_dir):
+    """The same with shingles by MD5, which SQL has."""
+    found = dedup.find_duplicates(_prints(spark, sf_dir), digest="md5").where("duplicate_status != 'unique'")
+    return found.select(F.col("ref").cast("long").alias("doc_id"), "duplicate_status", F.col("duplicate_of").cast("long").alias("duplicate_of"), "similarity", "duplicate_match")
+
+
 # Scores
 
 
@@ -335,6 +342,17 @@ def audit_pages(spark, sf_dir):
     return api.audit_pages(wide(adapt.latest_delivery(table(spark, sf_dir, "dataset_rows")))).drop("collected_at")
 
 
+def audit_measures(spark, sf_dir):
+    """Every delivered row as an audited page or a diagnosis, with duplicates not checked."""
+    pages = api.audit_pages(wide(adapt.latest_delivery(table(spark, sf_dir, "dataset_rows"))), AuditConfig(max_pages=None, detect_duplicates=False))
+    names = (
+        "source_id", "url", "status", "error_code", "content_status", "title", "page_profile", "word_count", "raw_text_chars", "main_content_chars", "raw_html_chars", "boilerplate_ratio", "heading_count", "h2_count",
+        "heading_hierarchy_anomalies", "paragraph_count", "list_count", "table_count", "code_block_count", "internal_link_count", "external_link_count", "has_meta_description", "has_json_ld", "metadata_available",
+        "estimated_tokens", "rag_value", "recommended_for_rag",
+    )
+    return pages.select(*names, F.round(F.col("rag_readiness_score") * 100).cast("long").alias("cents"))
+
+
 def audit_totals(spark, sf_dir):
     """Report of the audit of all delivered rows."""
     return report.totals(audit_pages(spark, sf_dir))

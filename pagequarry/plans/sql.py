@@ -67,12 +67,12 @@ _PARTS = {
     "accessibility": "CASE content_status WHEN 'ok' THEN 10.0 WHEN 'too_short' THEN 7.0 WHEN 'empty' THEN 2.0 WHEN 'likely_requires_javascript' THEN 2.0 ELSE 0.0 END",
 }
 _CENTS = {c: f"CAST(round(greatest(0.0, CAST({e} AS DOUBLE)) * 100) AS BIGINT)" for c, e in _PARTS.items()}
-_SCORED = f"""
-WITH p AS ({_AUDITED}), q AS (SELECT *, {_PROFILE} AS prof, {" + ".join(_CENTS.values())} AS cents FROM p), s AS (
+_SCORED_FROM_P = f"""q AS (SELECT *, {_PROFILE} AS prof, {" + ".join(_CENTS.values())} AS cents FROM p), s AS (
   SELECT *, CASE WHEN prof = 'navigation_or_index' OR content_status <> 'ok' OR duplicate_status IN ('exact_duplicate', 'near_duplicate') THEN 'low'
       WHEN word_count >= 200 AND heading_count >= 2 THEN 'high' WHEN word_count >= 60 THEN 'medium' ELSE 'low' END AS val,
     cents >= 7000 AND content_status = 'ok' AND word_count >= 60 AND duplicate_status IN ('unique', 'not_checked') AND prof <> 'navigation_or_index' AS rec
   FROM q)"""
+_SCORED = f"WITH p AS ({_AUDITED}), {_SCORED_FROM_P}"
 _JS = "content_status = 'likely_requires_javascript'"
 
 
