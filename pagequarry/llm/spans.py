@@ -243,16 +243,16 @@ def _stretches(least: int):
 
 
 def _single_spans(least: int):
-    """The digest of each span of each window, with the documents that are known to hold it."""
+    """The digest of each span of each window, with the first and last document that are known to hold it, and the stretch for which these stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for c, text, los, his, firsts, lasts in zip(*(col.to_pylist() for col in batch.columns)):
-                out += [(c, s, _digest(text[s : s + least]), a, b) for lo, hi, a, b in zip(los, his, firsts, lasts) for s in range(lo, hi + 1)]
-            cols = list(zip(*out)) or [()] * 5
+            for c, text, los, his, firsts, lasts, of in zip(*(col.to_pylist() for col in batch.columns)):
+                out += [(c, s, _digest(text[s : s + least]), a, b, x) for lo, hi, a, b, x in zip(los, his, firsts, lasts, of) for s in range(lo, hi + 1)]
+            cols = list(zip(*out)) or [()] * 6
             kind = batch.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int32(), pa.binary(), kind, kind))], ["id", "place", "span", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int32(), pa.binary(), kind, kind, pa.binary()))], ["id", "place", "span", "first", "last", "of"])
 
     return run
 
@@ -284,14 +284,18 @@ def shared_spans(docs: DataFrame, copied: DataFrame, id_col: str = "doc_id", tex
     known = store(whole.groupBy("token", "stretch").agg(F.min(F.struct("id", "lo", "hi")).alias("one"), F.max("id").alias("last")).select("token", "stretch", "one.*", "last"))
     # Whole stretches that several documents have.
     shared = known.where("id < last").select("token", "stretch", F.col("id").alias("first"))
-    done = whole.join(shared, ["token", "stretch"]).select("id", F.col("lo").alias("begin"), (F.col("hi") + least).alias("end"), "first")
-    # The others span by span; of a shared stretch one document stands for all, where its token has others.
-    lone = known.where("id = last").select("token").distinct()
-    asked = whole.join(shared, ["token", "stretch"], "left_anti").select("id", "lo", "hi", F.col("id").alias("first"), F.col("id").alias("last"))
-    stands = known.where("id < last").join(lone, "token", "left_semi").select("id", "lo", "hi", F.col("id").alias("first"), "last")
-    single = store(_by_text(long, asked.unionByName(stands), ["lo", "hi", "first", "last"]).mapInArrow(_single_spans(least), f"id {kind}, place int, span binary, first {kind}, last {kind}"))
-    several = single.groupBy("span").agg(F.min("first").alias("least_id"), F.max("last").alias("most_id")).where("least_id < most_id").select("span", "least_id")
-    more = single.where("first = last").join(several, "span").select("id", F.col("place").alias("begin"), (F.col("place") + least).alias("end"), F.col("least_id").alias("first"))
+    done = whole.join(shared, ["token", "stretch"]).select("id", F.col("lo").alias("begin"), (F.col("hi") + least).alias("end"), "first", "stretch")
+    # The others span by span; of a shared stretch one document stands for all, where its token has other stretches.
+    many = known.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    asked = whole.join(shared, ["token", "stretch"], "left_anti").select("id", "lo", "hi", F.col("id").alias("first"), F.col("id").alias("last"), F.lit(None).cast("binary").alias("of"))
+    stands = known.where("id < last").join(many, "token", "left_semi").select("id", "lo", "hi", F.col("id").alias("first"), "last", F.col("stretch").alias("of"))
+    texts = _by_text(long, asked.unionByName(stands), ["lo", "hi", "first", "last", "of"])
+    single = store(texts.mapInArrow(_single_spans(least), f"id {kind}, place int, span binary, first {kind}, last {kind}, of binary"))
+    several = store(single.groupBy("span").agg(F.min("first").alias("least_id"), F.max("last").alias("most_id")).where("least_id < most_id").select("span", "least_id"))
+    more = single.where("of is null").join(several, "span").select("id", F.col("place").alias("begin"), (F.col("place") + least).alias("end"), F.col("least_id").alias("first"))
+    # Documents with another stretch may hold spans of a shared one, too.
+    lower = single.where("of is not null").join(several, "span").groupBy(F.col("of").alias("stretch")).agg(F.min("least_id").alias("lower"))
+    done = done.join(lower, "stretch", "left").select("id", "begin", "end", F.least("first", "lower").alias("first"))
     # A document's spans are bounded by its length.
     spans = done.unionByName(more).groupBy("id").agg(F.collect_list(F.struct("begin", "end", "first")).alias("s"))
     return spans.select("id", "s.begin", "s.end", "s.first").mapInArrow(_merged, f"id {kind}, begin int, end int, first {kind}")

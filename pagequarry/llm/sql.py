@@ -23,7 +23,28 @@ WITH t AS (
 
 _SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+#: All spans of 200 characters that stand in several documents.
+_SPANS = """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200
+), s AS (SELECT doc_id, i - 1 AS pos, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)
+), k AS (SELECT h, min(doc_id) AS first FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), m AS (SELECT doc_id, pos, h, first FROM s JOIN k USING (h)"""
+_PASSAGES = (
+    _SPANS
+    + """), e AS (SELECT md5(text) AS t, min(doc_id) AS rep FROM d GROUP BY 1 HAVING count(*) > 1
+), c AS (SELECT doc_id, length(text) AS n, rep FROM d JOIN e ON md5(text) = t
+), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g
+), p AS (
+  SELECT doc_id, CAST(min(pos) AS INT) AS from_char, CAST(max(pos) + 200 AS INT) AS to_char, min(first) AS first_doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM c) GROUP BY doc_id, run
+  UNION ALL SELECT doc_id, 0, CAST(n AS INT), rep FROM c)"""
+)
+
 ORACLES: dict[str, str] = {
+    "p8_found": _SPANS + "), t AS (SELECT DISTINCT h, doc_id FROM m) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p8_passages": _PASSAGES + " SELECT * FROM p",
+    "p8_shares": _PASSAGES
+    + """, n AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars FROM documents), q AS (SELECT doc_id, sum(to_char - from_char) AS covered FROM p GROUP BY 1)
+SELECT doc_id, n_chars, CAST(coalesce(covered, 0) AS BIGINT) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(covered, 0) / n_chars ELSE 0.0 END AS share FROM n LEFT JOIN q USING (doc_id)""",
     "p1_found": rf"""
 WITH s AS (
   SELECT source_id, min(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')) AS site
