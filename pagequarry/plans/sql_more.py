@@ -28,7 +28,7 @@ NEAR_DUPLICATES_MD5 = rf"""WITH RECURSIVE n AS (
   SELECT CAST(0 AS BIGINT) AS k, list(DISTINCT lo) AS reps FROM near WHERE lo NOT IN (SELECT hi FROM near)
   UNION ALL SELECT n.k, CASE WHEN list_has_any(w.reps, n.los) THEN w.reps ELSE list_append(w.reps, n.hi) END FROM walk w JOIN nodes n ON n.k = w.k + 1
 ), reps AS (SELECT unnest(reps) AS r FROM walk QUALIFY row_number() OVER (ORDER BY k DESC) = 1
-), target AS (SELECT hi, arg_min(lo, d * 1000000000 + lo) AS to_id, min(d) AS d FROM near WHERE lo IN (SELECT r FROM reps) AND hi NOT IN (SELECT r FROM reps) GROUP BY 1)
+), target AS (SELECT hi, arg_min(lo, CAST(d AS HUGEINT) * 1000000000000 + lo) AS to_id, min(d) AS d FROM near WHERE lo IN (SELECT r FROM reps) AND hi NOT IN (SELECT r FROM reps) GROUP BY 1)
 SELECT doc_id, CASE WHEN doc_id <> first_id THEN 'exact_duplicate' ELSE 'near_duplicate' END AS duplicate_status, CASE WHEN doc_id <> first_id THEN coalesce(to_id, first_id) ELSE to_id END AS duplicate_of,
   CASE WHEN doc_id <> first_id THEN 1.0 ELSE round(1 - d / 64.0, 6) END AS similarity, CASE WHEN doc_id = first_id THEN 'simhash_64' WHEN raw = first_raw THEN 'exact' ELSE 'normalized_exact' END AS duplicate_match
 FROM f LEFT JOIN target ON hi = first_id WHERE doc_id <> first_id OR to_id IS NOT NULL"""
