@@ -174,6 +174,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.where(F.pandas_udf(_alike, BooleanType())("a", "b")).select("key", "other")
 
 
+def _candidates(member: DataFrame, by: list[str], which: Column | None = None) -> DataFrame:
+    """(key, other): pairs of ``member`` (node, chars, sketch) with equal ``by`` whose sketches and lengths allow for similarity."""
+    a, b = member.alias("a"), member.alias("b")
+    agree = sum((_agreeing(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in SKETCH), F.lit(0))
+    # Shingles of two lines at the limit differ in number by a third at most; repeated ones allow for more characters.
+    fits = (F.least("a.chars", "b.chars") >= 0.5 * F.greatest("a.chars", "b.chars")) & (agree >= SKETCH_AGREES * 8 * len(SKETCH))
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.node") < F.col("b.node")]).where(fits if which is None else fits & which)
+    return met.select(F.col("a.node").alias("key"), F.col("b.node").alias("other"))
+
+
 def close_lines(nodes: DataFrame) -> DataFrame:
     """(key, other): pairs of ``nodes`` (node, site, masked) of a site that share a bucket and are
     similar, as many as link all that are.
@@ -197,43 +207,51 @@ def close_lines(nodes: DataFrame) -> DataFrame:
         near = near.unionByName(lead.select("bucket", F.col("key").alias("node"), F.lit(False).alias("far")))
         met = met.drop("apart").join(near, ["bucket", "node"], "left").select("bucket", "node", "parts", ((F.col("parts") == 1) | F.coalesce("far", F.lit(True))).alias("apart"))
     once = signed.select("node", "chars", *SKETCH).join(met.select("node").distinct(), "node").dropDuplicates(["node"])
-    member = met.join(once, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    a = member.select("bucket", F.col("own").alias("i"), F.col("each").alias("j"), F.col("node").alias("key"), F.col("chars").alias("m"), "apart", *SKETCH)
-    b = member.select("bucket", F.col("each").alias("i"), F.col("own").alias("j"), F.col("node").alias("other"), F.col("chars").alias("n"), F.col("apart").alias("too"), *[F.col(c).alias(f"o{c}") for c in SKETCH])
-    agree = sum((_agreeing(F.col(c), F.col(f"o{c}")) for c in SKETCH), F.lit(0))
-    # Shingles of two lines at the limit differ in number by a third at most; repeated ones allow for more characters.
-    fits = (F.col("apart") | F.col("too")) & (F.least("m", "n") >= 0.5 * F.greatest("m", "n")) & (agree >= SKETCH_AGREES * 8 * len(SKETCH))
-    pairs = store(a.join(b, ["bucket", "i", "j"]).where((F.col("key") < F.col("other")) & fits).select("key", "other").distinct())
+    member = met.join(once, "node")
+    # Both sides of a small bucket are the same rows, shuffled once; large buckets are cut into blocks.
+    pairs = _candidates(member.where("parts = 1").drop("parts", "apart"), ["bucket"])
+    if links is not None:
+        blocks = member.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = blocks.withColumns({"low": F.least("own", "each"), "high": F.greatest("own", "each")}).drop("each", "parts").distinct()
+        once_only = (F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own"))
+        pairs = pairs.unionByName(_candidates(blocks, ["bucket", "low", "high"], once_only & (F.col("a.apart") | F.col("b.apart"))))
+    pairs = store(pairs.distinct())
     close = _verified(pairs, nodes)
     return close if links is None else close.unionByName(links)
 
 
 def clusters(lines: DataFrame) -> DataFrame:
-    """(key, rows, cluster) of each distinct line of a site.
+    """(key, rows, node, cluster) of each distinct line of a site; ``cluster`` is null where it is linked to no other.
 
     ``rows`` is the number of rows the line stands in. Lines that are equal after masking are one node;
     nodes that are linked, be it through others or by a line that is masked in two ways, are one
-    cluster, named by its least node.
+    cluster, named by its least node; so are the lines of one node.
     """
     first = lines.where("node is not null")
     once = store(first.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"), F.max("node").alias("last")))
     close = close_lines(first.select("node", "site", "masked"))
-    joined = components(close.unionByName(once.where("node < last").select(F.col("node").alias("key"), F.col("last").alias("other")))).withColumnRenamed("key", "node")
-    return once.join(joined, "node", "left").select("key", "rows", F.coalesce("cluster", "node").alias("cluster"))
+    joined = components(close.unionByName(once.where("node < last").select(F.col("node").alias("key"), F.col("last").alias("other"))))
+    named = joined.select(F.col("key").alias("node"), "cluster").unionByName(joined.select(F.col("cluster").alias("node"), "cluster").distinct())
+    alike = once.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.col("node").alias("cluster"))
+    named = named.unionByName(alike).groupBy("node").agg(F.min("cluster").alias("cluster"))
+    return once.join(named, "node", "left").select("key", "rows", "node", "cluster")
 
 
-def heavy_clusters(c: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
-    """(cluster) of the clusters that stand in ``min_rows`` different rows or more.
+def heavy_lines(c: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
+    """(key, cluster, line_rows) of the lines of clusters that stand in ``min_rows`` different rows or more.
 
     One line in that many rows is enough, and lines in fewer rows by their sum are not; only what is
-    between, where no line stands in ``min_rows`` rows, has its rows counted.
+    between, where no line stands in ``min_rows`` rows, has its rows counted. Lines alone are not grouped.
     """
-    sums = c.groupBy("cluster").agg(F.max("rows").alias("most"), F.sum("rows").alias("total")).where(F.col("total") >= min_rows)
+    linked = c.where("cluster is not null")
+    sums = linked.groupBy("cluster").agg(F.max("rows").alias("most"), F.sum("rows").alias("total")).where(F.col("total") >= min_rows)
     sure = sums.where(F.col("most") >= min_rows).select("cluster")
-    open_keys = c.join(sums.where(F.col("most") < min_rows).select("cluster"), "cluster").select("key", "cluster")
+    open_keys = linked.join(sums.where(F.col("most") < min_rows).select("cluster"), "cluster").select("key", "cluster")
     rows = lines.where("node is not null").select("row_id", "key").join(open_keys, "key").select("cluster", "row_id").distinct()
     counted = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("cluster")
-    return sure.unionByName(counted)
+    heavy = linked.join(sure.unionByName(counted), "cluster").select("key", "cluster", "rows")
+    alone = c.where(F.col("cluster").isNull() & (F.col("rows") >= min_rows)).select("key", F.col("node").alias("cluster"), "rows")
+    return heavy.unionByName(alone).withColumnRenamed("rows", "line_rows")
 
 
 def repeated_lines(rows: DataFrame, results: DataFrame, min_rows: int = 6) -> DataFrame:
@@ -242,8 +260,7 @@ def repeated_lines(rows: DataFrame, results: DataFrame, min_rows: int = 6) -> Da
     """
     lines = store(split_lines(sites(rows, results)))
     c = store(clusters(lines))
-    heavy = heavy_clusters(c, lines, min_rows)
-    keys = c.join(heavy, "cluster").select("key", "cluster", F.col("rows").alias("line_rows"))
+    keys = heavy_lines(c, lines, min_rows)
     # A line of a large site stands in very many rows: spread each key.
     salted = lines.select("row_id", "line_no", "key", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("_salt"))
     spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
