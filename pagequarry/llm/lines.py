@@ -67,11 +67,14 @@ def mask(line: Column) -> Column:
 
 
 def sites(rows: DataFrame, results: DataFrame) -> DataFrame:
-    """(row_id, text, site): the site of a row is the host of its result's url."""
+    """(row_id, text, site): the site of a row is the host of its result's url.
+
+    There are as many sources as rows, so their sites are never broadcast, however small.
+    """
     host = F.regexp_replace(F.lower(F.try_parse_url(F.trim("url"), F.lit("HOST"))), r"^www\.", "")
     found = results.where(F.col("url") != "").groupBy("source_id").agg(F.min(host).alias("site")).where(F.length("site") > 0)
     source = F.concat_ws(":", F.lit("dataset"), F.col("dataset_id"), F.col("row_index").cast("string"))
-    return rows.where("text is not null").select("row_id", "text", source.alias("source_id")).join(found, "source_id").drop("source_id")
+    return rows.where("text is not null").select("row_id", "text", source.alias("source_id")).join(found.hint("merge"), "source_id").drop("source_id")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
