@@ -4,8 +4,8 @@ The first row of each normalized text stands for it. Of these, rows of 80 words
 or more get a 64-bit SimHash; a row is a near-duplicate if an earlier
 representative lies within 3 bits and 80 % of its words, else it becomes a
 representative itself. What is decided row by row in a single pass is here a
-least maximal independent set in row order, found in rounds over the graph of
-close pairs.
+least maximal independent set in row order, found in a few rounds over the graph
+of close pairs; chains that are left are decided component by component.
 
 Close pairs are found complete: 64 bits in 5 blocks differ in at most 3 blocks,
 so two blocks agree, and rows meet under each of the 10 pairs of blocks (25 bits
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.hashing import fingerprints
+from pagequarry.operators.graph import components
 from pagequarry.plans.lineage import cut, store
 
 # When rows are compared, and when they count as close.
@@ -33,6 +35,8 @@ MAX_DISTANCE, MIN_RATIO = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SALTS = 16
 BUCKET = 512
+#: Rounds before chains are decided as a whole, and the most links of a component that one task decides.
+ROUNDS, CHAIN = 4, 200_000
 
 
 def fingerprinted(docs: DataFrame, digest: str = "blake2b") -> DataFrame:
@@ -78,19 +82,67 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
     return met.select(F.col("a.scope").alias("scope"), F.col("a.idx").alias("lo"), F.col("b.idx").alias("hi"), d.alias("d")).distinct()
 
 
+def _round(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """Decides each open node of ``state`` whose earlier neighbours are decided, or one of them is a representative."""
+    earlier = edges.join(state.select("scope", F.col("idx").alias("lo"), "rep"), ["scope", "lo"])
+    seen = earlier.groupBy("scope", F.col("hi").alias("idx")).agg(F.max(F.coalesce("rep", F.lit(False))).alias("taken"), F.max(F.col("rep").isNull()).alias("open"))
+    joined = state.join(seen, ["scope", "idx"], "left")
+    free = ~F.coalesce("taken", F.lit(False)) & ~F.coalesce("open", F.lit(False))
+    new = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.col("taken"), False).when(free, True)
+    return cut(joined.select("scope", "idx", new.alias("rep")))
+
+
+def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of the links (lo, hi) of one component, numbered in order: which nodes have no earlier representative near."""
+    taken, reps = set(), set()
+    near: dict[int, list[int]] = {}
+    for lo, hi in zip(frame["lo"], frame["hi"]):
+        near.setdefault(lo, []).append(hi)
+    for n in range(1, int(max(frame["hi"])) + 1):
+        if n not in taken:
+            reps.add(n)
+            taken.update(near.get(n, ()))
+    nodes = sorted(set(frame["lo"]) | set(frame["hi"]))
+    return pd.DataFrame({"cluster": frame["cluster"].iloc[0], "n": nodes, "rep": [n in reps for n in nodes]})
+
+
+def _chains(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """Decides the open nodes of all components of at most ``CHAIN`` links, each in one go.
+
+    No open node has a representative near that is decided, so only links between open nodes count.
+    """
+    left = state.where("rep is null").select("scope", "idx")
+    links = edges.select("scope", "lo", "hi").join(left.withColumnRenamed("idx", "lo"), ["scope", "lo"]).join(left.withColumnRenamed("idx", "hi"), ["scope", "hi"])
+    key = lambda c: F.struct("scope", F.col(c).alias("idx"))
+    links = store(links.select(key("lo").alias("key"), key("hi").alias("other")))
+    ends = components(links)
+    named = ends.unionByName(ends.select(F.col("cluster").alias("key"), "cluster").distinct())
+    of = links.join(named, "key")
+    name = F.to_json("cluster")
+    small = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") <= CHAIN).select("cluster")
+    nodes = store(named.join(small, "cluster").withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("key"))))
+    numbered = of.join(nodes.select("key", F.col("n").alias("lo")), "key").join(nodes.select(F.col("key").alias("other"), F.col("n").alias("hi")), "other").select(name.alias("cluster"), "lo", "hi")
+    found = numbered.groupBy("cluster").applyInPandas(_in_order, "cluster string, n int, rep boolean")
+    by_node = nodes.select("key", "n", name.alias("cluster")).join(found, ["cluster", "n"]).select("key.scope", "key.idx", F.col("rep").alias("new"))
+    return cut(state.join(by_node, ["scope", "idx"], "left").select("scope", "idx", F.coalesce("rep", "new").alias("rep")))
+
+
 def representatives(edges: DataFrame) -> DataFrame:
-    """(scope, idx, rep) of the nodes on ``edges``: whether each, in order, has no earlier representative close to it."""
+    """(scope, idx, rep) of the nodes on ``edges``: whether each, in order, has no earlier representative close to it.
+
+    Most nodes are decided in a few rounds. What is left are chains, of which each round decides a link:
+    they are decided component by component; only components too large for that go on in rounds.
+    """
     nodes = edges.select("scope", F.col("lo").alias("idx")).unionByName(edges.select("scope", F.col("hi").alias("idx"))).distinct()
     state = cut(nodes.withColumn("rep", F.lit(None).cast("boolean")))
-    while True:
-        earlier = edges.join(state.select("scope", F.col("idx").alias("lo"), "rep"), ["scope", "lo"])
-        seen = earlier.groupBy("scope", F.col("hi").alias("idx")).agg(F.max(F.coalesce("rep", F.lit(False))).alias("taken"), F.max(F.col("rep").isNull()).alias("open"))
-        joined = state.join(seen, ["scope", "idx"], "left")
-        free = ~F.coalesce("taken", F.lit(False)) & ~F.coalesce("open", F.lit(False))
-        new = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.col("taken"), False).when(free, True)
-        state = cut(joined.select("scope", "idx", new.alias("rep")))
-        if state.where("rep is null").isEmpty():
-            return state
+    rounds = 0
+    while not state.where("rep is null").isEmpty():
+        if rounds == ROUNDS:
+            state = _chains(edges, state)
+        else:
+            state = _round(edges, state)
+        rounds += 1
+    return state
 
 
 def near_targets(firsts: DataFrame) -> DataFrame:

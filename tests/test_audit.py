@@ -172,3 +172,18 @@ def test_source_rows_numbers_rows(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "Text string, title long")
     got = adapt.source_rows(df, ["Text"]).orderBy("row_index").collect()
     assert [(r.text, r.row_index, r.title, r.html) for r in got] == [("a", 0, None, None), ("b", 1, None, None)]
+
+
+@pytest.mark.parametrize("most", [10, 100_000])
+def test_chains_of_near_duplicates(spark, monkeypatch, most):
+    """A long chain is decided as a whole, not a link a round; one too large for that goes on in rounds."""
+    monkeypatch.setattr(dedup, "CHAIN", most)
+    n = 9 if most == 10 else 300
+    links = [("a", k, k + 1) for k in range(n)] + [("b", k, k + 1) for k in range(0, 40, 2)]
+    if most == 10:
+        links += [("c", k, k + 1) for k in range(14)]
+    got = {(r.scope, r.idx): r.rep for r in dedup.representatives(spark.createDataFrame(links, "scope string, lo long, hi long")).collect()}
+    want = {("a", k): k % 2 == 0 for k in range(n + 1)} | {("b", k): k % 2 == 0 for k in range(40)}
+    if most == 10:
+        want |= {("c", k): k % 2 == 0 for k in range(15)}
+    assert got == want
