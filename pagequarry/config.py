@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import partial
 
 # Bounds of the integer parameters.
 INTEGER_BOUNDS = {"max_pages": (1, 1000), "max_depth": (0, 10), "max_concurrency": (1, 8), "request_timeout_secs": (5, 60)}
 FLAGS = ("respect_robots_txt", "detect_duplicates", "check_ai_metadata")
 PATTERN_LISTS = ("include_patterns", "exclude_patterns")
 MAX_PATTERNS, MAX_PATTERN_CHARS = 20, 200
+# What a dataset is named, and the messages of the public contract.
 DATASET_ID = re.compile(r"[A-Za-z0-9_-]{1,100}(?:~[A-Za-z0-9_-]{1,100})?")
+NOT_AN_OBJECT = "Input must be a JSON object."
+UNKNOWN_FIELDS = "Unknown input fields: {}"
+NOT_AN_INTEGER = "{} must be an integer between {} and {}."
+NOT_A_BOOLEAN = "{} must be a boolean."
+NOT_A_LIST = f"{{}} must be a list of at most {MAX_PATTERNS} URL globs."
+NOT_PATTERNS = f"{{}} must contain nonempty glob strings up to {MAX_PATTERN_CHARS} characters."
+NOT_A_STRING = "{} must be a string."
+WRONG_MODE, NO_WEBSITE, NO_DATASET = "mode must be website or dataset.", "Provide a website URL.", "Provide a dataset ID or owner~dataset name, not a URL."
 
 
 @dataclass(frozen=True)
@@ -31,34 +42,33 @@ class AuditConfig:
     request_timeout_secs: int = 25
 
 
+def _whole(value: object, low: int, high: int) -> bool:
+    return type(value) is int and low <= value <= high
+
+
+#: Rules in the order they are told: names of fields, the test that a value passes, the message if it fails.
+_RULES: list[tuple[tuple[str, ...], Callable[[object], bool], str]] = [
+    *(((n,), partial(_whole, low=low, high=high), NOT_AN_INTEGER.format("{}", low, high)) for n, (low, high) in INTEGER_BOUNDS.items()),
+    (FLAGS, lambda v: isinstance(v, bool), NOT_A_BOOLEAN),
+    (PATTERN_LISTS, lambda v: isinstance(v, list) and len(v) <= MAX_PATTERNS, NOT_A_LIST),
+    (PATTERN_LISTS, lambda v: not isinstance(v, list) or len(v) > MAX_PATTERNS or all(isinstance(p, str) and 0 < len(p) <= MAX_PATTERN_CHARS for p in v), NOT_PATTERNS),
+    (("mode", "start_url", "dataset_id"), lambda v: isinstance(v, str), NOT_A_STRING),
+]
+
+
 def problems(data: object) -> list[str]:
     """What is wrong with an input, in words; an empty list if nothing is."""
-    if data is None:
-        data = {}
-    if not isinstance(data, dict):
-        return ["Input must be a JSON object."]
-    known = {f.name for f in fields(AuditConfig)}
-    found = ["Unknown input fields: " + ", ".join(sorted(map(str, data.keys() - known)))] if data.keys() - known else []
-    for name, (low, high) in INTEGER_BOUNDS.items():
-        if name in data and (isinstance(data[name], bool) or not isinstance(data[name], int) or not low <= data[name] <= high):
-            found.append(f"{name} must be an integer between {low} and {high}.")
-    found += [f"{name} must be a boolean." for name in FLAGS if name in data and not isinstance(data[name], bool)]
-    for name in PATTERN_LISTS:
-        value = data.get(name, [])
-        if not isinstance(value, list) or len(value) > MAX_PATTERNS:
-            found.append(f"{name} must be a list of at most {MAX_PATTERNS} URL globs.")
-        elif not all(isinstance(p, str) and 0 < len(p) <= MAX_PATTERN_CHARS for p in value):
-            found.append(f"{name} must contain nonempty glob strings up to {MAX_PATTERN_CHARS} characters.")
-    texts = {name: data.get(name, default) for name, default in (("mode", "website"), ("start_url", ""), ("dataset_id", ""))}
-    wrong = [name for name, value in texts.items() if not isinstance(value, str)]
-    found += [f"{name} must be a string." for name in wrong]
-    if not wrong:
-        if texts["mode"] not in ("website", "dataset"):
-            found.append("mode must be website or dataset.")
-        elif texts["mode"] == "website" and not texts["start_url"].strip():
-            found.append("Provide a website URL.")
-        elif texts["mode"] == "dataset" and not DATASET_ID.fullmatch(texts["dataset_id"]):
-            found.append("Provide a dataset ID or owner~dataset name, not a URL.")
+    if not isinstance(data, dict | None):
+        return [NOT_AN_OBJECT]
+    given = data or {}
+    strange = sorted(str(k) for k in given if k not in {f.name for f in fields(AuditConfig)})
+    found = [UNKNOWN_FIELDS.format(", ".join(strange))] if strange else []
+    found += [message.format(name) for names, passes, message in _RULES for name in names if name in given and not passes(given[name])]
+    mode, start, dataset = given.get("mode", "website"), given.get("start_url", ""), given.get("dataset_id", "")
+    if all(isinstance(x, str) for x in (mode, start, dataset)):
+        asked = {"website": (start.strip(), NO_WEBSITE), "dataset": (DATASET_ID.fullmatch(dataset), NO_DATASET)}
+        fine, message = asked.get(mode, (None, WRONG_MODE))
+        found += [] if fine else [message]
     return found
 
 

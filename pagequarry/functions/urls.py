@@ -19,6 +19,7 @@ MAX_URL_CHARS = 4096
 DEFAULT_PORTS = {"http": 80, "https": 443}
 # Endings of hosts that are not public.
 LOCAL_SUFFIXES = (".localhost", ".local", ".internal", ".home", ".lan")
+# Signs that no URL may hold.
 _FORBIDDEN = re.compile("[\x00-\x20\x7f\\\\]")
 
 
