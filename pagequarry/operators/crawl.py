@@ -113,7 +113,7 @@ def offer(links: DataFrame, seen: DataFrame, config: AuditConfig, room: int, bas
     return new.select("url", (F.row_number().over(Window.orderBy("at", "url")) + base - 1).cast("long").alias("ord"))
 
 
-def _permission(rules: robots.Rules):
+def permission(rules: robots.Rules):
     """Whether a column of urls may be read, in Arrow batches."""
     if not rules.lines:
         return lambda url: F.lit(rules.default)
@@ -134,7 +134,7 @@ def audit_site(captured: DataFrame, config: AuditConfig, public_only: bool = Tru
     host = urls.host_of(start)
     rules = site_rules(start, known, config.respect_robots_txt, public_only)
     warnings = [rules.warning] if rules.warning else []
-    permit = _permission(rules)
+    permit = permission(rules)
     frontier = offer(spark.createDataFrame([(start, 0, 0)], "url string, parent long, place long"), spark.createDataFrame([], "url string"), config, MAX_QUEUE, 0)
     queue = cut(frontier.withColumn("depth", F.lit(0)))
     extra = None

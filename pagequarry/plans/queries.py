@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry import api
-from pagequarry.config import AuditConfig
-from pagequarry.functions import hashing, text, urls
-from pagequarry.operators import adapt, dedup, diagnostics, report, scoring
-from pagequarry.plans.lineage import cut
+from pagequarry.config import AuditConfig, problems
+from pagequarry.functions import hashing, html_kernel, text, urls
+from pagequarry.operators import adapt, crawl, dedup, diagnostics, report, scoring
+from pagequarry.plans.lineage import cut, store
 from pagequarry.schema import COMPONENTS
-from pagequarry.sources import snapshot
+from pagequarry.sources import robots, sitemap, snapshot
 from pagequarry.sources.tables import table, wide
 
 
@@ -293,6 +295,44 @@ def site_files(spark, sf_dir):
     return snapshot.text_files(jobs, _known(spark, sf_dir), public_only=False)
 
 
+#: A robots.txt for the query below: longest lines first decide, a tie is allowed.
+ROBOTS_TXT = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /blog/\nAllow: /blog/*-1\nDisallow: /docs/item-*5$\nAllow: /docs/\nDisallow: /*?\n"
+
+
+def robots_permissions(spark, sf_dir):
+    """Whether the lines of a robots.txt let each address of the results be read."""
+    p = table(spark, sf_dir, "page_results").where("url != ''").select("url").distinct()
+    return p.select("url", crawl.permission(robots.parse(ROBOTS_TXT))(F.col("url")).alias("allowed"))
+
+
+def sitemap_entries(spark, sf_dir):
+    """The addresses of one sitemap per captured response: its own, where it leads, and its own once more, which counts once."""
+    escaped = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
+    place = lambda c: F.coalesce(F.concat(F.lit("<url><loc> "), c, F.lit("\n</loc></url>")), F.lit(""))
+    kind = F.when(F.col("status") == 404, "feed").when(F.col("status") == 301, "sitemapindex").otherwise("urlset")
+    entries = F.concat(place(escaped("url")), place(escaped("redirect_location")), place(escaped("url")))
+    xml = F.concat(F.lit('<?xml version="1.0"?><'), kind, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entries, F.lit("</"), kind, F.lit(">"))
+    s = table(spark, sf_dir, "capture_snapshot").where("url is not null").select("capture_id", sitemap.parse_column(F.encode(xml, "UTF-8")).alias("s"))
+    return s.select("capture_id", "s.kind", F.array_join("s.urls", "|").alias("urls"), "s.truncated", "s.error")
+
+
+def crawl_frontier(spark, sf_dir):
+    """The queue of a crawl after one level: addresses that pages link to, once each, in the order of the pages and links, those seen left out."""
+    d = adapt.choose_url(wide(table(spark, sf_dir, "dataset_rows").where("html is not null"))).where("page_url != ''")
+    pages = store(d.select("row_id", "page_url", html_kernel.extract_column(F.col("html"), F.col("page_url"))["links"].alias("links")))
+    links = pages.select(F.col("row_id").alias("parent"), F.posexplode("links").alias("place", "url")).select("url", F.col("parent"), F.col("place").cast("long").alias("place"))
+    config = AuditConfig(include_patterns=("https://*",), exclude_patterns=("*/careers*", "*/t/*"))
+    return crawl.offer(links, pages.select(F.col("page_url").alias("url")).distinct(), config, crawl.MAX_QUEUE, 0)
+
+
+def job_validation(spark, sf_dir):
+    """What is wrong with each job's input, in words."""
+    names = ("start_url", "dataset_id", "max_pages", "max_depth", "max_concurrency", "request_timeout_secs", "include_patterns", "exclude_patterns", "respect_robots_txt", "detect_duplicates", "check_ai_metadata")
+    jobs = table(spark, sf_dir, "audit_jobs").select("job_id", F.to_json(F.struct(F.col("run_mode").alias("mode"), *names)).alias("input"))
+    told = F.pandas_udf(lambda inputs: inputs.map(lambda x: "|".join(problems(json.loads(x)))), "string")
+    return jobs.select("job_id", told("input").alias("problems"))
+
+
 # Report
 
 

