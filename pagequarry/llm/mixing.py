@@ -2,8 +2,8 @@
 
 Each source has a weight schedule over the course of training whose integral is
 its target share. The documents of a source, in an order given by the hash of
-their ids, lie one behind the other along its tokens, as often as needed; the
-place of a document on this line, inverted through the integral of the schedule,
+their ids and of the pass, lie one behind the other along its tokens, in as many
+passes as needed; the place of a document on this line, inverted through the integral of the schedule,
 is its training position. Documents are range-sorted by position.
 
 The mix is as large as its scarcest source allows: a source gives at most
@@ -70,17 +70,20 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> Data
 
 def draw(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """(mix_name, position, source, doc_id, copy_no, tokens): the documents of each mix, sorted by position in [0, 1)."""
-    docs = sizes.where("tokens > 0 and source is not null").withColumn("at", F.xxhash64("doc_id", "source"))
-    docs = docs.withColumn("part", F.shiftrightunsigned("at", 64 - 12))
-    sums = docs.groupBy("source", "part").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "part").orderBy("at", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = docs.withColumn("_end", F.sum("tokens").over(within)).join(offsets, ["source", "part"])
-    lined = lined.select("source", "doc_id", "tokens", (F.col("offset") + F.col("_end") - F.col("tokens") / 2.0).alias("middle"))
-    each = lined.join(F.broadcast(plan.where("demand > 0")), "source")  # MAX_TARGETS rows at most
     passes = F.least(F.ceil(F.col("demand") / F.col("total")), F.col("repeats")).cast("int")
-    copies = each.withColumn("copy_no", F.explode(F.sequence(F.lit(1), passes)))
+    mixes = plan.where("demand > 0").withColumn("passes", passes)  # MAX_TARGETS rows at most
+    most = mixes.groupBy("source").agg(F.max("passes").alias("most"))
+    docs = sizes.where("tokens > 0 and source is not null").join(F.broadcast(most), "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("most")))).drop("most")
+    # Each pass has an order of its own.
+    docs = docs.withColumn("at", F.xxhash64("doc_id", "source", "copy_no"))
+    docs = docs.withColumn("part", F.shiftrightunsigned("at", 64 - 12))
+    sums = docs.groupBy("source", "copy_no", "part").agg(F.sum("tokens").alias("t"))
+    before = Window.partitionBy("source", "copy_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source", "copy_no", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("source", "copy_no", "part").orderBy("at", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = docs.withColumn("_end", F.sum("tokens").over(within)).join(offsets, ["source", "copy_no", "part"])
+    lined = lined.select("source", "doc_id", "tokens", "copy_no", (F.col("offset") + F.col("_end") - F.col("tokens") / 2.0).alias("middle"))
+    copies = lined.join(F.broadcast(mixes), "source").where("copy_no <= passes")
     y = ((F.col("copy_no") - 1) * F.col("total") + F.col("middle")) / F.col("demand")
     drawn = copies.withColumn("y", y).where("y < 1")
     a = F.col("tilt")

@@ -89,6 +89,15 @@ def test_mixing(spark):
     assert half("a") > 0.52 and half("c") < 0.48
 
 
+def test_passes_have_orders_of_their_own(spark):
+    drawn, _ = mix(spark, [(i, "a" if i < 400 else "b", 10) for i in range(500)], [("m", "a", 0.5, 1), ("m", "b", 0.5, 4)])
+    order = {c: [r.doc_id for r in drawn if r.source == "b" and r.copy_no == c] for c in range(1, 5)}
+    assert all(sorted(x) == list(range(400, 500)) for x in order.values()) and len({tuple(x) for x in order.values()}) == 4
+    last = [max(r.position for r in drawn if r.source == "b" and r.copy_no == c) for c in range(1, 5)]
+    first = [min(r.position for r in drawn if r.source == "b" and r.copy_no == c) for c in range(1, 5)]
+    assert all(a < b for a, b in zip(last, first[1:]))  # one pass after the other
+
+
 def test_missing_source(spark):
     _, shares = mix(spark, make(), [("m", "a", 0.4, 1), ("m", "b", 0.4, 1), ("m", "gone", 0.2, 5)])
     assert shares["gone"].tokens == 0 and abs(shares["a"].share_reached - 0.5) < 0.02
