@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Generator
 from functools import lru_cache
 from html import unescape
 from pathlib import Path
@@ -445,8 +446,32 @@ def _show(text: str, samples: list[str]) -> str:
     return re.sub(f"{CODE_ON}([0-9]+){CODE_OFF}", lambda m: samples[int(m[1])], text)
 
 
+def render_all(steps: list[Generator], is_html: bool) -> list[str]:
+    """The texts of several renderings; the pieces of all are labelled by one evaluation of the trees."""
+    asked = [next(g) for g in steps]
+    done = label([doc for docs in asked for doc in docs], is_html)
+    out, at = [], 0
+    for g, docs in zip(steps, asked):
+        try:
+            g.send(done[at : at + len(docs)])
+        except StopIteration as end:
+            out.append(end.value)
+        at += len(docs)
+    return out
+
+
 def render_markdown(md: str) -> str:
     """Clean text of Markdown: headings, lists, tables, code and formulas keep their signs."""
+    return render_all([markdown_steps(md)], False)[0]
+
+
+def render_page(page: Page) -> str:
+    """Clean text of a page: headings, lists, tables, code and formulas are shown by signs."""
+    return render_all([page_steps(page)], True)[0]
+
+
+def markdown_steps(md: str) -> Generator:
+    """Asks for the labels of its texts and returns the clean text."""
     md = re.sub("[\x1d-\x1f]", " ", md)
     out, at, samples = [], 0, []
     spans = code_blocks(md)
@@ -454,7 +479,7 @@ def render_markdown(md: str) -> str:
     for a, b in [*spans, (len(md), len(md))]:
         prose.append(_hide(md[at:a], samples, SPAN))
         at = b
-    done = label([[markdown_nodes(p)] for p in prose], False)
+    done = yield [[markdown_nodes(p)] for p in prose]
     for k, doc in enumerate(done):
         out += [_show(tidy(clean(*t)), samples) for t in doc]
         if k < len(spans):
@@ -487,8 +512,8 @@ def _entries(page: Page) -> dict[int, tuple[str, int]]:
     return out
 
 
-def render_page(page: Page) -> str:
-    """Clean text of a page: headings, lists, tables, code and formulas are shown by signs."""
+def page_steps(page: Page) -> Generator:
+    """Asks for the labels of its texts and returns the clean text."""
     samples: list[str] = []
     chosen, texts, where = [], [], {}
     for i in page.blocks:
@@ -502,8 +527,11 @@ def render_page(page: Page) -> str:
         chosen += [i] * len(cells)
         texts += [_hide(c, samples, SAMPLE) for c in cells]
     samples = ["`" + " ".join(x.strip(CODE_ON + CODE_OFF).split()) + "`" for x in samples]
-    docs = [(t, [0], v[None]) for t, v in zip(texts, html_nodes(page, chosen))]
-    done = [_show(tidy(clean(*t)), samples) for t in label([docs], True)[0]]
+    # Only texts with signs of markup can have pieces, and need the features of their nodes.
+    signed = [k for k, t in enumerate(texts) if SIGNS.search(t) or "''" in t]
+    docs = [(texts[k], [0], v[None]) for k, v in zip(signed, html_nodes(page, [chosen[k] for k in signed]))] if signed else []
+    labelled = dict(zip(signed, (yield [docs])[0]))
+    done = [_show(tidy(clean(*labelled[k]) if k in labelled else t), samples) for k, t in enumerate(texts)]
     entries = _entries(page)
     heads = {page.parent[i] for i, t in enumerate(page.tag) if t == "th"} - {page.parent[i] for i, t in enumerate(page.tag) if t == "td"}
     out: list[str] = []

@@ -12,6 +12,8 @@ from pagequarry.llm import blocks, markup, residue
 from pagequarry.llm.dom import parse
 from pagequarry.plans.lineage import store
 
+#: Documents whose pieces are labelled together.
+TOGETHER = 256
 #: Parts of a body that very many rows show.
 SALTS = 16
 
@@ -137,7 +139,10 @@ def _rendered(is_html: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            out = [markup.render_page(parse(t)) if is_html else markup.render_markdown(t) for t in texts]
+            out: list[str] = []
+            for at in range(0, len(texts), TOGETHER):
+                some = texts[at : at + TOGETHER]
+                out += markup.render_all([markup.page_steps(parse(t)) if is_html else markup.markdown_steps(t) for t in some], is_html)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["row_id", "clean"])
 
     return run
